@@ -137,9 +137,9 @@ def issues(profiled: DataFrame, spec: ProfileSpec) -> DataFrame:
     """load, column_name, issue (nulls, range, pattern, shift) for every limit that a profile row exceeds."""
     found = F.array_compact(
         F.array(
-            F.when(F.col("n_null") > spec.null_share * F.col("n_rows"), "nulls"),
-            F.when(F.col("n_out_of_range") > spec.range_share * F.col("n_rows"), "range"),
-            F.when(F.col("n_contradicting") > spec.pattern_share * F.col("n_rows"), "pattern"),
+            F.when(F.col("n_null") / F.col("n_rows") > spec.null_share, "nulls"),
+            F.when(F.col("n_out_of_range") / F.col("n_rows") > spec.range_share, "range"),
+            F.when(F.col("n_contradicting") / F.col("n_rows") > spec.pattern_share, "pattern"),
             F.when(F.col("shift") > spec.shift, "shift"),
         )
     )

@@ -351,7 +351,7 @@ def report(rows: list[dict], adjusted: dict | None = None, digits: int = 5) -> s
     for title, items in sections.items():
         lines += [title, "=" * len(title)]
         for i, r in enumerate(rows):
-            lines.append(f"{r.get('label') or f'Stratum {i + 1}'}: a={r['a']:g} b={r['b']:g} c={r['c']:g} d={r['d']:g}")
+            lines.append(f"{r.get('label') or f'Stratum {i + 1}'}: " + " ".join(f"{x}={number(r[x])}" for x in "abcd"))
             for text, k, kind in items:
                 if kind == "p":
                     lines.append(f"  {text}: {number(r.get(k))}, p={number(r.get('p' + k))}")

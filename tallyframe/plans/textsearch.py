@@ -138,7 +138,7 @@ def unparse(node: Any) -> str:
 
 def words(text: Column) -> Column:
     """The words of a text, of two characters or more, in capitals and without apostrophes."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)[A-Z0-9][A-Z0-9']+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9][A-Za-z0-9']+"), F.lit(0))
     return F.coalesce(F.transform(found, lambda w: F.upper(F.replace(w, F.lit("'"), F.lit("")))), F.array().cast("array<string>"))
 
 

@@ -37,7 +37,7 @@ STDPOP_FIELDS = (IntField("agegrp", 1, 18), IntField("sex", 1, 2), IntField("pop
 
 def _whole(text: Column) -> Column:
     """The value of a run of ASCII digits, null if it is no such run or too long to be in any range."""
-    bare = F.regexp_replace(F.regexp_replace(text, f"^{WS}+|{WS}+$", ""), r"^0+(?=[0-9])", "")
+    bare = F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"^0+(?=[0-9])", "")
     return F.when(bare.rlike(r"^[0-9]{1,18}$") & (F.length(bare) <= 18) & ~bare.contains("\n"), bare).try_cast("bigint")
 
 
@@ -59,28 +59,17 @@ def classify(df: DataFrame, raw: str, fields: tuple[IntField, ...]) -> DataFrame
         in_range = in_range & F.col(f"__read.{f.name}").between(f.low, f.high)
     clean = F.coalesce(F.col("__read.__corrupt").isNull() & text.rlike(strict) & in_range, F.lit(False))
 
+    # The first and last piece are taken out, so that no lambda over the others depends on their number:
+    # it would be worked out again for each of them.
     pieces = F.split(text, '"', -1)
-    last = F.size(pieces) - 1
-    outside_ok = F.forall(
-        F.transform(
-            pieces,
-            lambda s, i: F.when(i % 2 == 1, True)
-            .when((i == 0) & (last == 0), True)
-            .when(i == 0, s.rlike(rf"(?s)^(?:.*,)?{WS}*\z"))
-            .when(i == last, s.rlike(rf"(?s)^{WS}*(?:,.*)?\z"))
-            .otherwise((s == "") | s.rlike(rf"(?s)^{WS}*,(?:.*,)?{WS}*\z")),
-        ),
-        lambda ok: ok,
-    )
-    quoting = (last % 2 == 1) | ~outside_ok
+    first, end = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    outside_ok = F.forall(F.transform(inner, lambda s, i: (i % 2 == 0) | (s == "") | s.rlike(rf"(?s)^{WS}*,(?:.*,)?{WS}*\z")), lambda ok: ok)
+    ends_ok = (F.size(pieces) == 1) | (first.rlike(rf"(?s)^(?:.*,)?{WS}*\z") & end.rlike(rf"(?s)^{WS}*(?:,.*)?\z"))
+    quoting = (F.size(pieces) % 2 == 0) | ~outside_ok | ~ends_ok
     # Inside quotes a comma or a doubled quote can be no part of a number: both become a letter.
-    flat = F.array_join(
-        F.transform(
-            pieces,
-            lambda s, i: F.when(i % 2 == 1, F.translate(s, ",", "x")).when((i > 0) & (i < last) & (s == ""), "x").otherwise(s),
-        ),
-        "",
-    )
+    flat_inner = F.transform(inner, lambda s, i: F.when(i % 2 == 0, F.translate(s, ",", "x")).when(s == "", "x").otherwise(s))
+    flat = F.when(F.size(pieces) == 1, text).otherwise(F.concat(first, F.array_join(flat_inner, ""), end))
     out = out.withColumn("__parts", F.when(~clean, F.split(flat, ",", -1)))
     out = out.withColumn("__whole", F.transform("__parts", _whole))
     reason = (

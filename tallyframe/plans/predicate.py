@@ -302,7 +302,12 @@ def _compile(node: Any, ds: Dataset, positive: bool, now: Any) -> Column:
 def _compare(node: Compare, ds: Dataset, positive: bool, now: Any) -> Column:
     kind, meta = ds.kind(node.column), ds.meta(node.column)
     c = F.col(f"`{node.column}`")
-    fix = lambda v: v.resolve(now) if isinstance(v, RelativeDate) else v
+
+    def fix(v: Any) -> Any:
+        v = v.resolve(now) if isinstance(v, RelativeDate) else v
+        # As text, because years before 1000 need leading zeros.
+        return F.lit(v.isoformat()).cast("date") if isinstance(v, dt.date) and not node.prefix else v
+
     value = tuple(map(fix, node.value)) if isinstance(node.value, tuple) else fix(node.value)
     if node.op == "contains" or meta.role == "searchabletext":
         if node.op != "contains" or meta.role != "searchabletext":

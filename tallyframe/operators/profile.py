@@ -1,8 +1,8 @@
 """Column-level data quality profile per load, by character-class masks.
 
 One pass turns every profiled column into (load, column, value text) counts, combined map-side. The
-masks, ranges and classes are then worked out on distinct values only, and what follows is the size
-of the distinct values, not of the rows. A mask is the text of a value with every ASCII letter as
+masks, ranges and classes are then worked out on distinct values only and combined to one row per mask
+and class; all that follows has that size. A mask is the text of a value with every ASCII letter as
 `a` or `A` and every digit as `9`; the masks holding at least `rare` of a column's non-null values
 in a load are its dominant patterns, the others are violations.
 """
@@ -58,7 +58,7 @@ NHDS_RULES = (
 
 
 def value_counts(df: DataFrame, spec: ProfileSpec) -> DataFrame:
-    """load, column_id, text, bad, n: the rows of each load by value; bad: the rule is broken."""
+    """load, column_id, text, n, bad: the rows of each load by value, and those of them that break the rule."""
     cells = F.array(
         *[
             F.struct(
@@ -70,7 +70,7 @@ def value_counts(df: DataFrame, spec: ProfileSpec) -> DataFrame:
         ]
     )
     long = df.select(F.col(f"`{spec.load}`").alias("load"), F.explode(cells).alias("c"))
-    return long.groupBy("load", F.col("c.column_id").alias("column_id"), F.col("c.text").alias("text"), F.col("c.bad").alias("bad")).agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("load", F.col("c.column_id").alias("column_id"), F.col("c.text").alias("text")).agg(F.count(F.lit(1)).alias("n"), F.count_if("c.bad").alias("bad"))
 
 
 def profile(df: DataFrame, spec: ProfileSpec) -> DataFrame:
@@ -84,31 +84,34 @@ def profile(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     """
     names = F.array(*[F.lit(c.name) for c in spec.columns])
     n = F.col("n")
-    counts = cut(value_counts(df, spec))
+    counts = value_counts(df, spec)
     v = F.col("text").try_cast("double")
-    inside = F.lit(False)
     out = F.lit(False)
     cls = F.lit(None).cast("int")
     for i, c in enumerate(spec.columns):
         here = F.col("column_id") == i
         if c.low is not None:
             ok = F.coalesce(v.between(c.low, c.high), F.lit(False))
-            inside = F.when(here, ok).otherwise(inside)
             out = F.when(here, F.col("text").isNotNull() & ~ok).otherwise(out)
             if c.classes:
                 cls = F.when(here & ok, F.expr(c.classes)).otherwise(cls)
     rows = counts.withColumn("v", v).withColumn("outside", out).withColumn("class", cls).withColumn("mask", mask(F.col("text")))
-    per_value = rows.groupBy("load", "column_id", "text", "v", "outside").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), n).otherwise(0)).alias("bad"))
-    total = per_value.groupBy("load", "column_id").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("text").isNull(), n).otherwise(0)).alias("n_null"), F.count("text").alias("n_distinct"), F.min("v").alias("min_value"), F.max("v").alias("max_value"),
-        F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.sum(F.when(F.col("outside"), n).otherwise(0)).alias("n_out_of_range"), F.sum("bad").alias("n_contradicting"),
+    # Combined again before it is written: what is kept has a row per mask and class, not per value.
+    kinds = cut(
+        rows.groupBy("load", "column_id", "mask", "class", "outside").agg(
+            F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("text").alias("n_distinct"), F.min("v").alias("low"), F.max("v").alias("high"), F.min("text").alias("first"), F.max("text").alias("last")
+        )
+    )
+    total = kinds.groupBy("load", "column_id").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("mask").isNull(), n).otherwise(0)).alias("n_null"), F.sum("n_distinct").alias("n_distinct"), F.min("low").alias("min_value"), F.max("high").alias("max_value"),
+        F.min("first").alias("min_text"), F.max("last").alias("max_text"), F.sum(F.when(F.col("outside"), n).otherwise(0)).alias("n_out_of_range"), F.sum("bad").alias("n_contradicting"),
     )
-    masks = rows.where("mask is not null").groupBy("load", "column_id", "mask").agg(F.sum("n").alias("n"))
+    masks = kinds.where("mask is not null").groupBy("load", "column_id", "mask").agg(F.sum("n").alias("n"))
     share = masks.withColumn("share", n / F.sum("n").over(Window.partitionBy("load", "column_id")))
     mined = share.groupBy("load", "column_id").agg(
         F.max(F.struct("n", "mask")).getField("mask").alias("dominant_mask"), F.count(F.lit(1)).alias("n_masks"), F.sum(F.when(F.col("share") < spec.rare, n).otherwise(0)).alias("n_rare_mask")
     )
-    classes = rows.where("class is not null").groupBy("load", "column_id", F.col("class").cast("string").alias("item")).agg(F.sum("n").alias("n"))
+    classes = kinds.where("class is not null").groupBy("load", "column_id", F.col("class").cast("string").alias("item")).agg(F.sum("n").alias("n"))
     # Loads are few: their order is a window over the per-load totals, never over rows.
     order = total.select("load", "column_id", F.lag(F.struct("load")).over(Window.partitionBy("column_id").orderBy("load")).alias("before"))
     moved = _shift(classes, order).withColumnRenamed("moved", "shift")

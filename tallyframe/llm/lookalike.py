@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.plans.scale import BROADCAST_ROWS, cut
+from tallyframe.plans.scale import cut, join_small
 
 #: Letters of other scripts and the Latin letters of the same shape.
 CYRILLIC = ("аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈԚԜ", "aeopcyxsijhdqwABEKMHOPCTXSIJQW")
@@ -92,11 +92,11 @@ def folded_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, folded and exact: SHA-256 of the folded and of the original text, where a character is visible."""
+    """The key, folded and exact: SHA-256 of the folded and of the original text, where a character is visible."""
     kind = pa.schema([("key", pa.int64()), ("folded", pa.binary()), ("exact", pa.binary())])
     select = f"""SELECT key, unhex(sha256(f)) AS folded, unhex(sha256(t)) AS exact
         FROM (SELECT key, t, {fold_sql("t")} AS f FROM batch WHERE t IS NOT NULL) WHERE regexp_matches(f, '{VISIBLE}')"""
-    return _batches(df, key, text, select, "key bigint, folded binary, exact binary", kind)
+    return _batches(df, key, text, select, "key bigint, folded binary, exact binary", kind).withColumnRenamed("key", key)
 
 
 def lookalike_classes(marked: DataFrame) -> DataFrame:
@@ -115,28 +115,25 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, hot: int = 5000, salts:
     joined with its documents. Documents of a text with more than `hot` copies are spread over salted
     tasks. Keys are whole numbers and unique.
     """
-    marked = cut(digests(df, key, text))
+    marked = cut(digests(df, key, text)).select("folded", "exact", F.col(key).alias("key"))
     classes = cut(lookalike_classes(marked))
+    number = classes.count()
     a, b = (classes.select("folded", F.col("exact").alias(f"exact_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     # Distinct texts of one form; the text with more documents is called a.
     bigger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("exact_a") < F.col("exact_b")))
-    linked = a.join(b, "folded").where(bigger).select("exact_a", "n_a", "exact_b", "n_b")
-    crowd = classes.where(F.col("n") > hot).select(F.col("exact").alias("h"))
-    crowds = crowd.count()
-    docs = marked.join(classes.select("exact"), "exact", "left_semi").select("exact", F.col("key"))
-    if crowds and crowds <= BROADCAST_ROWS:
-        # At most one text in `hot` rows is here, and the list is broadcast only below the bound.
-        is_hot = docs.join(F.broadcast(crowd), F.col("exact") == F.col("h"), "left").withColumn("hot", F.col("h").isNotNull()).drop("h")
-    else:
-        is_hot = docs.withColumn("hot", F.lit(crowds > 0))
-    spread = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
-    left_docs = is_hot.select(F.col("exact").alias("exact_a"), F.col("key").alias("x"), F.when(F.col("hot"), spread).otherwise(0).alias("salt"))
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    many = F.col("n_a") > hot if crowds <= BROADCAST_ROWS else F.lit(True)
-    pairs = linked.withColumn("salt", F.explode(F.when(many, all_salts).otherwise(F.array(F.lit(0)))))
-    first = pairs.join(left_docs, ["exact_a", "salt"]).select("x", "exact_b", "n_b")
-    # Now b: each (x, text b) meets the documents of b. The rows of one b are salted by x, its documents repeated.
-    wide = first.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
-    right_docs = marked.join(linked.select(F.col("exact_b").alias("exact")), "exact", "left_semi").select(F.col("exact").alias("exact_b"), F.col("key").alias("y"))
-    both = wide.join(right_docs.withColumn("salt", F.explode(all_salts)), ["exact_b", "salt"])
+    linked = cut(a.join(b, "folded").where(bigger).select("exact_a", "n_a", "exact_b"))
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    # Documents of a: those of a hot text are spread by their key, its links repeated for every salt.
+    texts_a = linked.select(F.col("exact_a").alias("exact"), F.col("n_a").alias("n")).distinct()
+    docs_a = join_small(marked.select("exact", "key"), texts_a, ["exact"], number)
+    docs_a = docs_a.select(F.col("exact").alias("exact_a"), F.col("key").alias("x"), F.when(F.col("n") > hot, spread("key")).otherwise(0).alias("salt"))
+    links = linked.withColumn("salt", F.explode(F.when(F.col("n_a") > hot, every).otherwise(F.array(F.lit(0)))))
+    first = links.join(docs_a, ["exact_a", "salt"]).select("x", "exact_b", F.when(F.col("n_a") > hot, spread("x")).otherwise(-1).alias("salt"))
+    # Documents of b meet each x: repeated for every salt only where a hot text is among the partners.
+    texts_b = linked.groupBy(F.col("exact_b").alias("exact")).agg(F.max("n_a").alias("most"))
+    docs_b = join_small(marked.select("exact", "key"), texts_b, ["exact"], number)
+    reach = F.when(F.col("most") > hot, F.concat(F.array(F.lit(-1)), every)).otherwise(F.array(F.lit(-1)))
+    docs_b = docs_b.select(F.col("exact").alias("exact_b"), F.col("key").alias("y"), F.explode(reach).alias("salt"))
+    both = first.join(docs_b, ["exact_b", "salt"])
     return both.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))

@@ -154,6 +154,6 @@ def test_pairs(spark, hot, monkeypatch):
     assert len(want) > 30
     got = [tuple(r) for r in lookalike.lookalike_pairs(df, "doc_id", "text", hot=hot, salts=4).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    monkeypatch.setattr(lookalike, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("tallyframe.plans.scale.BROADCAST_ROWS", 0)
     assert sorted(tuple(r) for r in lookalike.lookalike_pairs(df, "doc_id", "text", hot=hot, salts=4).collect()) == sorted(want)
     assert lookalike.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0

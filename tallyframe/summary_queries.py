@@ -191,14 +191,14 @@ def summ_proportions_weighted(spark, d):
 
 # -- measures
 @query(
-    """SELECT l_returnflag, count(*) AS _freq_, 1 AS _level_, '1' AS _type_, round(var_samp(x), 2) AS samplevar_of_x, round(var_pop(x), 2) AS popvar_of_x, round(stddev_samp(x), 5) AS stddev_of_x,
-round(stddev_pop(x), 5) AS popstddev_of_x, round(100 * stddev_samp(x) / avg(x), 6) AS samplecv_of_x, round(100 * stddev_pop(x) / avg(x), 6) AS popcv_of_x, round(stddev_samp(x) / sqrt(count(x)), 6) AS stderr_of_x,
+    """SELECT l_returnflag, count(*) AS _freq_, 1 AS _level_, '1' AS _type_, round(var_samp(x), 2) AS samplevar_of_x, round(var_pop(x), 2) AS popvar_of_x, round(stddev_samp(x), 4) AS stddev_of_x,
+round(stddev_pop(x), 4) AS popstddev_of_x, round(100 * stddev_samp(x) / avg(x), 6) AS samplecv_of_x, round(100 * stddev_pop(x) / avg(x), 6) AS popcv_of_x, round(stddev_samp(x) / sqrt(count(x)), 6) AS stderr_of_x,
 round((avg(x) - 38000) / (stddev_samp(x) / sqrt(count(x))), 6) AS t_of_x, round(exp(avg(ln(x))), 6) AS geomean_of_x FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) GROUP BY ALL"""
 )
 def summ_moments(spark, d):
     ds = Dataset.of(table(spark, d, "lineitem").withColumnRenamed("l_extendedprice", "x"), "l")
     s = ds.summ("l_returnflag", *[f("x") for f in (m.samplevar, m.popvar, m.stddev, m.popstddev, m.samplecv, m.popcv, m.stderr, m.geomean)], m.studentt("x", muzero=38000), ordered=False)
-    return shown(s).withColumns({"samplevar_of_x": F.round("samplevar_of_x", 2), "popvar_of_x": F.round("popvar_of_x", 2), "stddev_of_x": F.round("stddev_of_x", 5), "popstddev_of_x": F.round("popstddev_of_x", 5)})
+    return shown(s).withColumns({"samplevar_of_x": F.round("samplevar_of_x", 2), "popvar_of_x": F.round("popvar_of_x", 2), "stddev_of_x": F.round("stddev_of_x", 4), "popstddev_of_x": F.round("popstddev_of_x", 4)})
 
 
 @query(
@@ -208,7 +208,7 @@ q AS (SELECT c.sex, count(c.x) AS k, sum(w * (x - mu) ^ 2) AS ss FROM c JOIN a O
 f AS (SELECT sex, sum(greatest(analysis_wgt, 0)) AS fw FROM nhds GROUP BY ALL)
 SELECT a.sex, n AS _freq_, 1 AS _level_, '1' AS _type_, CAST(fw AS DOUBLE) AS freq_wgtd_by_analysis_wgt, round(mu, 6) AS mean_of_days_of_care_wgtd_by_analysis_wgt, round(mu * sw, 6) AS sum_of_days_of_care_wgtd_by_analysis_wgt,
 round(ss / (sw - 1), 6) AS samplevar_of_days_of_care_wgtd_by_analysis_wgt, round(ss / sw, 6) AS popvar_of_days_of_care_wgtd_by_analysis_wgt,
-round(sqrt(ss / (sw - 1)), 6) AS stddev_of_days_of_care_wgtd_by_analysis_wgt, round(sqrt(ss / (k - 1)) / sqrt(sw), 6) AS stderr_of_days_of_care_wgtd_by_analysis_wgt
+round(sqrt(ss / (sw - 1)), 6) AS stddev_of_days_of_care_wgtd_by_analysis_wgt, round(CASE WHEN k > 1 THEN sqrt(ss / (k - 1)) / sqrt(sw) END, 6) AS stderr_of_days_of_care_wgtd_by_analysis_wgt
 FROM a JOIN q ON q.sex IS NOT DISTINCT FROM a.sex JOIN f ON f.sex IS NOT DISTINCT FROM a.sex"""
 )
 def summ_weighted(spark, d):

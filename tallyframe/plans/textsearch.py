@@ -10,6 +10,7 @@ substring test on the raw text keeps rows that cannot match from being split int
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -146,6 +147,11 @@ def _pattern(word: str) -> str:
     return "^" + ".*".join(map(re.escape, word.split("*"))) + "$"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def positions(node: Any, tokens: Column) -> Column:
     """The array of positions that a node matches; empty if it does not match."""
     if isinstance(node, Word):
@@ -159,12 +165,21 @@ def positions(node: Any, tokens: Column) -> Column:
     if isinstance(node, Phrase):
         out = positions(node.parts[0], tokens)
         for p in node.parts[1:]:
-            after = positions(p, tokens)
-            right = F.array_intersect(after, F.transform(out, lambda x: x + 1))
-            left = F.array_intersect(out, F.transform(after, lambda x: x - 1))
-            out = F.array_union(left, right)
+            out = _chain(out, positions(p, tokens))
         return out
-    left, right = positions(node.left, tokens), positions(node.right, tokens)
+    return _let(positions(node.left, tokens), lambda left: _let(positions(node.right, tokens), lambda right: _joined(node, left, right)))
+
+
+def _chain(before: Column, after: Column) -> Column:
+    return _let(before, lambda left: _let(after, lambda right: _follow(left, right)))
+
+
+def _follow(left: Column, right: Column) -> Column:
+    """Positions of pairs in which right comes just after left."""
+    return F.array_union(F.array_intersect(left, F.transform(right, lambda x: x - 1)), F.array_intersect(right, F.transform(left, lambda x: x + 1)))
+
+
+def _joined(node: Join, left: Column, right: Column) -> Column:
     none = F.array().cast("array<int>")
     if node.op == "&":
         return F.when((F.size(left) > 0) & (F.size(right) > 0), F.array_union(left, right)).otherwise(none)
@@ -197,7 +212,7 @@ def _possible(node: Any, flat: Column) -> Column:
 def matches(node: Any, text: Column) -> Column:
     """True or false, never null: whether the search finds anything in a text."""
     flat = F.upper(F.replace(text, F.lit("'"), F.lit("")))
-    return F.coalesce(_possible(node, flat) & (F.size(positions(node, words(text))) > 0), F.lit(False))
+    return F.coalesce(_possible(node, flat) & _let(words(text), lambda tokens: F.size(positions(node, tokens)) > 0), F.lit(False))
 
 
 def search_words(node: Any) -> list[str]:

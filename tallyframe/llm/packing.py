@@ -5,11 +5,12 @@ Sizes are whole numbers, so all items of one size are alike and a histogram of s
 
 1. The configuration linear program (patterns of sizes that fit a container, each size covered) is
    solved approximately by multiplicative weights: every size has a weight; the knapsack dynamic
-   program over the capacity prices the pattern of most weight; the pattern is used a bounded amount;
-   and the weights of the sizes it serves fall by a factor that depends on the share of their demand served.
-2. The fractional solution is rounded down to whole containers, never using more items than there are.
-   What is left is placed by best fit, the largest size first, in bulk: all containers with the same
-   contents are handled at once. Both steps cost what the histogram costs.
+   program over the capacity prices the patterns; a pattern is used a bounded amount; and the weights
+   of the sizes it serves fall with the share of their demand served, until every demand is covered.
+2. The fractional solution is rounded to whole containers, never using more items than there are, and
+   the program solved again for what is left, until that is 1 % of the load. That rest is placed by best
+   fit, the largest size first, in bulk: all containers with the same contents are handled at once.
+   All steps cost what the histogram costs.
 3. The plan says which ranks of each size go to which containers. Items get their rank within their
    size from a window over (size, salt) plus the counts of the salts before, so an item finds
    its container by itself and a size that a third of all items have is spread over many tasks.
@@ -28,71 +29,89 @@ from tallyframe.plans.scale import cut
 
 #: Items of one salt: the rows a task ranks at once.
 SALT_ROWS = 200_000
+#: Share of a demand that one use of a pattern serves, and how fast a weight falls with the share served.
+STEP, SHARPNESS = 0.05, 8.0
+#: A container is taken from the solution if at most 1 / FULL of it is empty; best fit gets the rest once it is 1 / REST of the load.
+FULL, REST = 1000, 100
+
+
+def room_values(price: np.ndarray) -> np.ndarray:
+    """The greatest value that fits every room from 0 up; price[s] is the value of size s, -inf where there is none."""
+    worth = np.zeros(len(price))
+    for c in range(1, len(price)):
+        worth[c] = max(worth[c - 1], (worth[c - 1 :: -1] + price[1 : c + 1]).max())
+    return worth
+
+
+def fill_container(price: np.ndarray, worth: np.ndarray, limits: np.ndarray, first: int = 0) -> dict[int, int]:
+    """Size -> number of a container filled by the values of its rooms, never above the limits; first goes in first."""
+    count: dict[int, int] = {}
+    room, s = len(price) - 1, first
+    while True:
+        if s:
+            count[s] = count.get(s, 0) + 1
+            room -= s
+        if not room:
+            return count
+        gain = worth[room - 1 :: -1] + price[1 : room + 1]
+        for k, n in count.items():
+            if k <= room and n >= limits[k]:
+                gain[k - 1] = -np.inf
+        s = int(gain.argmax()) + 1
+        if gain[s - 1] == -np.inf:
+            return count
 
 
 def knapsack_pattern(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """The multiset of sizes of greatest value within capacity, by dynamic programming.
 
-    Returns (count per size, value). The program allows any number of a size; counts above limits are cut
-    back afterwards, so the value is an upper bound of what the limited pattern is worth.
+    Returns (count per size, value). The value is that of any number of a size, an upper bound; the limits
+    are kept while the container is filled, so a size that is used up gives its room to the next best.
     """
-    by_room = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(sizes)
-    s, v = sizes[order], values[order]
-    upto = np.searchsorted(s, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        by_room[c] = by_room[c - 1]
-        if k := upto[c]:
-            gain = by_room[c - s[:k]] + v[:k]
-            best = int(gain.argmax())
-            if gain[best] > by_room[c]:
-                by_room[c], choice[c] = gain[best], best
-    count = np.zeros(len(sizes), np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            count[order[choice[c]]] += 1
-            c -= int(s[choice[c]])
-    return np.minimum(count, limits.astype(np.int64)), float(by_room[capacity])
-
-
-def solve_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 150, rate: float = 0.5) -> tuple[list[np.ndarray], np.ndarray, float]:
+    price, most = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1)
+    price[sizes], most[sizes] = values, limits
+    price[most < 1] = -np.inf
+    worth = room_values(price)
+    count = fill_container(price, worth, most)
+    return np.array([count.get(int(s), 0) for s in sizes], np.int64), float(worth[capacity])
+
+
+def solve_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float = STEP, sharpness: float = SHARPNESS) -> tuple[list[dict[int, int]], np.ndarray, float]:
     """Patterns, their fractional use, and a lower bound of the containers needed.
 
-    The weights are dual prices: scaled so that no pattern is worth more than 1, they bound the optimum
-    from below (weak duality), as does the total size.
+    There are 1 / step rounds, however many sizes there are. A round prices all rooms once and ends when
+    every size has its share of the demand, round * step: a size behind it goes first into a pattern, which
+    is used for `step` of the demand of its scarcest size at most and never beyond the demand. So the
+    use covers every demand exactly, with nothing to scale.
+    The weights are dual prices: divided by what the best pattern is worth, they bound the optimum from
+    below (weak duality), as does the total size.
     """
-    w = sizes / capacity
-    served = np.zeros(len(sizes))
-    patterns: dict[bytes, int] = {}
-    rows: list[np.ndarray] = []
-    use: list[float] = []
+    wanted = np.zeros(capacity + 1)
+    wanted[sizes] = demand
+    base = np.full(capacity + 1, -np.inf)
+    base[sizes] = sizes / capacity
+    served = np.zeros(capacity + 1)  # share of the demand
+    price = base.copy()
+    use: dict[tuple[tuple[int, int], ...], float] = {}
     bound = float((sizes * demand).sum()) / capacity
-    for r in range(rounds):
-        count, worth = knapsack_pattern(sizes, w, demand, capacity)
-        if not count.any():
-            break
-        if worth > 0:
-            bound = max(bound, float((w * demand).sum()) / worth)
-        on = count > 0
-        amount = float((demand[on] / count[on]).min())
-        amount *= max(1 / rounds, min(1.0, 4 / rounds))
-        amount = max(amount, min(1.0, float((demand[on] / count[on]).min())))
-        key = count.tobytes()
-        if key not in patterns:
-            patterns[key] = len(rows)
-            rows.append(count)
-            use.append(0.0)
-        use[patterns[key]] += amount
-        served += amount * count
-        # A size's weight falls with the share of its demand that this step served.
-        w = w * (1 - rate * np.minimum(1.0, amount * count / demand))
-        w = np.where(served >= demand, w * 0.5, w)
-    x = np.array(use)
-    return rows, x, bound
+    rounds = round(1 / step)
+    for r in range(1, rounds + 1):
+        worth = room_values(price)
+        if worth[capacity] > 0:
+            open_ = price > 0
+            bound = max(bound, float((price[open_] * wanted[open_]).sum()) / worth[capacity])
+        share = r / rounds
+        for s in sizes[::-1].tolist():
+            while served[s] < share - 1e-9:
+                count = fill_container(price, worth, wanted, s)
+                k, n = np.fromiter(count, np.int64), np.fromiter(count.values(), np.float64)
+                most = wanted[k] / n
+                amount = float(min(step * most.min(), ((1 - served[k]) * most).min()))
+                served[k] += amount / most
+                price[k] = np.where(served[k] < 1 - 1e-9, base[k] * np.exp(-sharpness * (served[k] - share)), -np.inf)
+                pattern = tuple(sorted(count.items()))
+                use[pattern] = use.get(pattern, 0.0) + amount
+    return [dict(p) for p in use], np.array(list(use.values())), bound
 
 
 def best_fit(left: dict[int, int], capacity: int, room: dict[int, list[list]] | None = None) -> list[tuple[Counter, int]]:
@@ -122,27 +141,39 @@ def best_fit(left: dict[int, int], capacity: int, room: dict[int, list[list]] |
     return [(c, n) for groups in open_.values() for c, n in groups if n]
 
 
+def take_whole(left: dict[int, int], capacity: int) -> tuple[list[tuple[Counter, int]], float]:
+    """Whole containers of the solved program for what is left, which is lowered; and the lower bound."""
+    sizes = np.array(sorted(s for s, n in left.items() if n > 0), np.int64)
+    rows, use, bound = solve_configurations(sizes, np.array([left[s] for s in sizes.tolist()], np.float64), capacity)
+    plan: list[tuple[Counter, int]] = []
+    room = [capacity - sum(s * k for s, k in p.items()) for p in rows]
+    full = sorted((i for i in range(len(rows)) if room[i] * FULL <= capacity), key=lambda i: (room[i], -use[i]))
+    # Rounded down first, then up where the items are still there.
+    for up in (0, 1):
+        for i in full:
+            number = min(int(use[i] + 1e-9) if not up else 1, min(left[s] // k for s, k in rows[i].items()))
+            if number > 0:
+                plan.append((Counter(rows[i]), number))
+                for s, k in rows[i].items():
+                    left[s] -= number * k
+    return plan, bound
+
+
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Counter, int]], float]:
     """(contents, number of containers) that hold exactly the counted sizes, and the lower bound."""
-    items = {int(s): int(n) for s, n in histogram.items() if 0 < s <= capacity and n > 0}
-    if not items:
+    left = {int(s): int(n) for s, n in histogram.items() if 0 < s <= capacity and n > 0}
+    if not left:
         return [], 0.0
-    sizes = np.array(sorted(items), np.int64)
-    demand = np.array([items[s] for s in sizes.tolist()], np.int64)
-    rows, use, bound = solve_configurations(sizes, demand.astype(float), capacity)
-    left = demand.copy()
-    plan: list[tuple[Counter, int]] = []
-    # Rounding down keeps whole containers only; fuller patterns first.
-    for i in sorted(range(len(rows)), key=lambda i: -int((rows[i] * sizes).sum())):
-        on = rows[i] > 0
-        if (capacity - int((rows[i] * sizes).sum())) * 100 > capacity:
-            continue
-        number = min(int(use[i]), int((left[on] // rows[i][on]).min()))
-        if number > 0:
-            left -= number * rows[i]
-            plan.append((Counter({int(s): int(k) for s, k in zip(sizes[on], rows[i][on])}), number))
-    plan += best_fit({int(s): int(n) for s, n in zip(sizes, left)}, capacity)
-    return plan, bound
+    load = sum(s * n for s, n in left.items())
+    plan, bound = take_whole(left, capacity)
+    rest = sum(s * n for s, n in left.items())
+    while rest * REST > load:
+        more, _ = take_whole(left, capacity)
+        if not more:
+            break
+        plan += more
+        rest = sum(s * n for s, n in left.items())
+    return plan + best_fit(left, capacity), bound
 
 
 def plan_table(plan: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

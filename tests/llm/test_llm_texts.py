@@ -97,6 +97,46 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in plan) <= 1.002 * bound + 1
 
 
+def test_triplets_near_the_known_optimum(monkeypatch):
+    """Every container of the optimum holds three items and is full; best fit needs 17 % more."""
+    rng = random.Random(1)
+    histogram: dict[int, int] = {}
+    for _ in range(60):
+        a = rng.randint(380, 494)
+        b = rng.randint(251, (1000 - a) // 2)
+        for s in (a, b, 1000 - a - b):
+            histogram[s] = histogram.get(s, 0) + 20
+    rest, best_fit = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda left, *a: (rest.append(sum(s * n for s, n in left.items())), best_fit(left, *a))[1])
+    plan, bound = packing.plan_containers(histogram, 1000)
+    assert 1200 - 1e-9 <= bound <= 1200 + 1e-6 and sum(n for _, n in plan) <= 1.025 * 1200
+    assert rest[0] <= 0.1 * 1_200_000
+
+
+@pytest.mark.parametrize("kinds", [5, 700])
+def test_solution_covers_every_demand(kinds):
+    import numpy as np
+
+    rng = random.Random(2)
+    sizes = np.array(sorted(rng.sample(range(1, 1001), kinds)))
+    demand = np.array([float(rng.randint(1, 9)) for _ in range(kinds)])
+    rows, use, bound = packing.solve_configurations(sizes, demand, 1000)
+    served = {int(s): 0.0 for s in sizes}
+    for pattern, x in zip(rows, use):
+        assert sum(s * k for s, k in pattern.items()) <= 1000
+        for s, k in pattern.items():
+            served[s] += k * x
+    assert [served[int(s)] for s in sizes] == pytest.approx(demand.tolist())
+    assert bound - 1e-6 <= use.sum()
+
+
+def test_limits_are_kept_while_filling():
+    import numpy as np
+
+    count, _ = packing.knapsack_pattern(np.array([3, 4]), np.array([3.1, 4.0]), np.array([1, 9]), 12)
+    assert count.tolist() == [1, 2]
+
+
 def test_knapsack_against_brute_force():
     import itertools
 

@@ -86,3 +86,17 @@ def test_profile(spark):
     found = {tuple(r) for r in prof.issues(prof.profile(df, spec), spec).collect()}
     assert found == {(1, "v", "pattern"), (1, "v", "shift"), (2, "v", "range"), (2, "v", "shift"), (2, "code", "nulls")}
     assert prof.profile(df.limit(0), spec).count() == 0
+
+
+def test_profile_of_nhds_has_every_column(spark, sf):
+    from tallyframe.data_queries import p6_profile
+
+    nhds = spark.read.parquet(f"{sf}/nhds.parquet")
+    rows = p6_profile(spark, sf).collect()
+    by_load = {r["load_id"]: r["n"] for r in nhds.groupBy("load_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {(r["load_id"], r["column_name"]) for r in rows} == {(k, c) for k in by_load for c in nhds.columns}
+    for r in rows:
+        if r["column_name"] == "row_ordinal":
+            assert (r["n_rows"], r["n_null"], r["n_distinct"]) == (by_load[r["load_id"]], 0, by_load[r["load_id"]])
+        if r["column_name"] == "load_id":
+            assert (r["n_distinct"], r["min_value"]) == (1, r["load_id"])

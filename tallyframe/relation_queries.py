@@ -119,13 +119,19 @@ add(
 )
 
 
-def _deaths(spark, d):
-    """Deaths counted by age group, sex and year; rows without them are no cells."""
-    df = table(spark, d, "syndeath").where("agegrp is not null and sex is not null and year is not null and region is not null")
+def _deaths(spark, d, *known):
+    """Deaths counted by age group, sex and year; rows without them, or without another column that must be known, are no cells."""
+    df = table(spark, d, "syndeath").where(" and ".join(f"{c} is not null" for c in ("agegrp", "sex", "year", *known)))
     counted = df.groupBy("agegrp", "sex", "year").agg(F.count(F.lit(1)).alias("_freq_"))
     return Dataset.of(counted, "deaths", agegrp=CAT, sex=CAT, year=CAT, _freq_=NUM)
 
 
+def _add_deaths(name, run, sql):
+    """name as its SQL has it, without the deaths of unknown region; name_all with them."""
+    add(name, lambda s, d: run(s, d, "region"), sql)
+    add(f"{name}_all", run, sql.replace(" AND region IS NOT NULL", ""))
+
+
 def _population(spark, d):
     df = table(spark, d, "synpop").withColumnRenamed("pop", "_freq_")
     return Dataset.of(df, "pop", agegrp=CAT, sex=CAT, region=CAT, year=CAT, _freq_=NUM)
@@ -136,9 +142,9 @@ def _standard(spark, d):
 
 
 add("align_collapse", lambda s, d: tables.collapse(_population(s, d).df, ["agegrp", "year"], ["_freq_"]), "SELECT agegrp, year, CAST(sum(pop) AS DOUBLE) AS _freq_ FROM synpop GROUP BY ALL")
-add(
+_add_deaths(
     "align_join",
-    lambda s, d: tables.aligned(_deaths(s, d).df, ["agegrp", "sex", "year"], _population(s, d), "_freq_", "pop"),
+    lambda s, d, *known: tables.aligned(_deaths(s, d, *known).df, ["agegrp", "sex", "year"], _population(s, d), "_freq_", "pop"),
     """SELECT agegrp, sex, year, _freq_, pop FROM (SELECT agegrp, sex, year, count(*) AS _freq_ FROM syndeath WHERE agegrp IS NOT NULL AND sex IS NOT NULL AND year IS NOT NULL AND region IS NOT NULL GROUP BY ALL)
 LEFT JOIN (SELECT agegrp, sex, year, CAST(sum(pop) AS DOUBLE) AS pop FROM synpop GROUP BY ALL) USING (agegrp, sex, year)""",
 )
@@ -147,9 +153,9 @@ add(
     lambda s, d: tables.replicate(tables.collapse(_standard(s, d).df, ["sex"], ["_stdpop_"]), {"region": table(s, d, "synpop").select("region").distinct()}),
     "SELECT sex, region, s AS _stdpop_ FROM (SELECT sex, CAST(sum(pop) AS DOUBLE) AS s FROM aus01stdpop_mf GROUP BY sex) CROSS JOIN (SELECT DISTINCT region FROM synpop)",
 )
-add(
+_add_deaths(
     "crosstab_dense",
-    lambda s, d: tables.crosstab(_deaths(s, d)).df,
+    lambda s, d, *known: tables.crosstab(_deaths(s, d, *known)).df,
     """WITH c AS (SELECT agegrp, sex, year, count(*) AS _freq_ FROM syndeath WHERE agegrp IS NOT NULL AND sex IS NOT NULL AND year IS NOT NULL AND region IS NOT NULL GROUP BY ALL)
 SELECT a.agegrp, b.sex, y.year, c._freq_ FROM (SELECT DISTINCT agegrp FROM c) a CROSS JOIN (SELECT DISTINCT sex FROM c) b CROSS JOIN (SELECT DISTINCT year FROM c) y LEFT JOIN c ON c.agegrp = a.agegrp AND c.sex = b.sex AND c.year = y.year""",
 )
@@ -170,12 +176,12 @@ def _rounded(df, *drop):
     return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in drop])
 
 
-def rate_direct(spark, d):
-    out = rates.direct_rates(_deaths(spark, d), _population(spark, d), _standard(spark, d)).df
+def rate_direct(spark, d, *known):
+    out = rates.direct_rates(_deaths(spark, d, *known), _population(spark, d), _standard(spark, d)).df
     return _rounded(out, "cr_ll", "cr_ul", "dsr_ll", "dsr_ul")
 
 
-add(
+_add_deaths(
     "rate_direct",
     rate_direct,
     _CELLS + """SELECT sex, year, CAST(sum(d) AS DOUBLE) AS summfreq, sum(p) AS popfreq, round(sum(d) / sum(p) * 100000, 6) AS cr,
@@ -183,22 +189,23 @@ CAST(sum(CASE WHEN w IS NOT NULL THEN d END) AS DOUBLE) AS std_strata_summfreq,
 )
 add("rate_direct_limits", lambda s, d: _rounded(rates.direct_rates(_deaths(s, d), _population(s, d), _standard(s, d)).df))
 add("rate_direct_limits_ff", lambda s, d: _rounded(rates.direct_rates(_deaths(s, d), _population(s, d), _standard(s, d), ci_method="ff").df))
-add(
+_add_deaths(
     "rate_crude",
-    lambda s, d: _rounded(rates.direct_rates(_deaths(s, d), _population(s, d), conflev=None).df),
+    lambda s, d, *known: _rounded(rates.direct_rates(_deaths(s, d, *known), _population(s, d), conflev=None).df),
     _CELLS + "SELECT sex, year, CAST(sum(d) AS DOUBLE) AS summfreq, sum(p) AS popfreq, round(sum(d) / sum(p) * 100000, 6) AS cr FROM c GROUP BY ALL",
 )
-add(
+_add_deaths(
     "rate_stratified",
-    lambda s, d: _rounded(rates.stratified_rates(_deaths(s, d), _population(s, d), conflev=None).df),
+    lambda s, d, *known: _rounded(rates.stratified_rates(_deaths(s, d, *known), _population(s, d), conflev=None).df),
     _CELLS + "SELECT agegrp, sex, year, CAST(d AS DOUBLE) AS summfreq, p AS popfreq, round(d / p * 100000, 6) AS sr FROM c",
 )
 add("rate_stratified_limits", lambda s, d: _rounded(rates.stratified_rates(_deaths(s, d), _population(s, d)).df))
 
 
-def _indirect(spark, d, conflev):
-    base = table(spark, d, "syndeath").where("agegrp is not null and sex is not null and year is not null and region is not null")
-    count = lambda *k: base.groupBy(*k).agg(F.count(F.lit(1)).alias("_freq_"))
+def _indirect(spark, d, conflev, *known):
+    """Deaths without what they are counted by, or without another column that must be known, are left out."""
+    base = table(spark, d, "syndeath")
+    count = lambda *k: base.where(" and ".join(f"{c} is not null" for c in (*k, *known))).groupBy(*k).agg(F.count(F.lit(1)).alias("_freq_"))
     events = Dataset.of(count("region"), "events", region=CAT, _freq_=NUM)
     std = Dataset.of(count("agegrp", "sex"), "stdevents", agegrp=CAT, sex=CAT, _freq_=NUM)
     return _rounded(rates.indirect_ratios(events, _population(spark, d), std, _population(spark, d), conflev).df)
@@ -206,12 +213,17 @@ def _indirect(spark, d, conflev):
 
 add(
     "rate_indirect",
-    lambda s, d: _indirect(s, d, None),
+    lambda s, d: _indirect(s, d, None, "agegrp", "sex", "year", "region"),
     """WITH b AS (SELECT * FROM syndeath WHERE agegrp IS NOT NULL AND sex IS NOT NULL AND year IS NOT NULL AND region IS NOT NULL),
 r AS (SELECT agegrp, sex, n / p AS rate FROM (SELECT agegrp, sex, count(*) AS n FROM b GROUP BY ALL) JOIN (SELECT agegrp, sex, CAST(sum(pop) AS DOUBLE) AS p FROM synpop GROUP BY ALL) USING (agegrp, sex)),
 x AS (SELECT region, sum(p) AS popfreq, sum(p * rate) AS expected FROM (SELECT agegrp, sex, region, CAST(sum(pop) AS DOUBLE) AS p FROM synpop GROUP BY ALL) JOIN r USING (agegrp, sex) GROUP BY region)
 SELECT region, popfreq, CAST(n AS DOUBLE) AS observed, round(expected, 6) AS expected, round(n / expected * 100, 6) AS isr FROM (SELECT region, count(*) AS n FROM b GROUP BY region) LEFT JOIN x USING (region)""",
 )
+add(
+    "rate_indirect_all",
+    lambda s, d: _indirect(s, d, None),
+    ORACLES["rate_indirect"].replace(" WHERE agegrp IS NOT NULL AND sex IS NOT NULL AND year IS NOT NULL AND region IS NOT NULL", "").replace("FROM b GROUP BY region", "FROM b WHERE region IS NOT NULL GROUP BY region"),
+)
 add("rate_indirect_limits", lambda s, d: _indirect(s, d, 0.95))
 
 # -- intervals of proportions and rates: long stays among discharges, by region

@@ -106,3 +106,28 @@ def test_zero_cells(spark):
     assert twobytwo.adjusted_measures(df).first()["rr_direct"] is None
     assert twobytwo.khan_p(1, 21, 4, 16)[0] == pytest.approx(twobytwo.exact_values([(1, 21, 4, 16)])["exact_p_onesided"], abs=1e-5)
     assert "Risk ratio" in twobytwo.report([r.asDict() for r in rows])
+
+
+@pytest.mark.parametrize("name", ["rate_direct_limits", "rate_direct_limits_ff", "rate_stratified_limits", "rate_direct_all", "rate_crude_all", "rate_stratified_all", "align_join_all", "crosstab_dense_all"])
+def test_deaths_of_unknown_region_are_counted(spark, sf, name):
+    from tallyframe.relation_queries import QUERIES
+
+    known = spark.read.parquet(f"{sf}/syndeath.parquet").where("agegrp is not null and sex is not null and year is not null")
+    assert known.where("region is null").count() > 0
+    out = QUERIES[name](spark, sf)
+    n = "summfreq" if "summfreq" in out.columns else "_freq_"
+    assert sum(r[n] or 0 for r in out.collect()) == known.count()
+
+
+@pytest.mark.parametrize("name", ["rate_indirect_all", "rate_indirect_limits"])
+def test_indirect_leaves_out_only_what_it_counts_by(spark, sf, name):
+    from tallyframe.relation_queries import QUERIES
+
+    deaths, pop = spark.read.parquet(f"{sf}/syndeath.parquet"), spark.read.parquet(f"{sf}/synpop.parquet")
+    rows = QUERIES[name](spark, sf).collect()
+    assert sum(r["observed"] for r in rows) == deaths.where("region is not null").count()
+    # Over all regions, the expected are the standard's own deaths.
+    cells = pop.groupBy("agegrp", "sex").sum("pop").join(deaths.groupBy("agegrp", "sex").count(), ["agegrp", "sex"])
+    regions = {r["region"] for r in pop.select("region").distinct().collect()}
+    if regions == {r["region"] for r in rows}:
+        assert sum(r["expected"] for r in rows) == pytest.approx(sum(r["count"] for r in cells.collect()))

@@ -92,3 +92,25 @@ def test_report_and_cells(spark):
     plan, units = cs.sample_report(df, targets, "rec", ["sex", "g"])
     plan = plan.set_index("cell_id")
     assert list(plan.loc[[1, 2, 3], "available"]) == [200, 100, 0] and list(plan.loc[[1, 2, 3], "gap"]) == [0, 20, 0] and units.count() == 300
+
+
+def test_terms_of_hot_records(spark):
+    """One record holds a third of the rows and the null record another, in many batches."""
+    rng = random.Random(11)
+    rows = [(1, f"w{rng.randint(0, 40)}", None) for _ in range(5000)] + [(None, f"w{rng.randint(0, 40)}", "x") for _ in range(5000)]
+    rows += [(rng.randint(2, 3000), rng.choice(["w1", "top", "top", f"u{rng.randint(0, 900)}"]), rng.choice(["x", "y", None])) for _ in range(5000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "rec long, a string, b string").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["field_name"], r["field_value"]): (r["n_rows"], r["n_records"]) for r in term_frequency(df, "rec", {"a": F.col("a"), "b": F.col("b")}).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {(n, r[k]): [0, set()] for n, k in (("a", 1), ("b", 2)) for r in rows if r[k] is not None}
+    for r in rows:
+        for n, k in (("a", 1), ("b", 2)):
+            if r[k] is not None:
+                want[n, r[k]][0] += 1
+                want[n, r[k]][1] |= {r[0]} - {None}
+    assert got == {k: (n, len(s)) for k, (n, s) in want.items()}

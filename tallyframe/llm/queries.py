@@ -70,6 +70,19 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(plan[_PLAN], _PLAN_SCHEMA).drop("probability")
 
 
+def p5_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """What every cell has, needs, gets at least, and lacks."""
+    plan, _ = _sample(spark, d)
+    rows = spark.createDataFrame(plan[_PLAN], _PLAN_SCHEMA)
+    return rows.select("cell_id", "available", "required", F.least("goal", "required").alias("met"), "gap")
+
+
+def p5_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Target, goal and available rows of each sex, region and age group, and of the whole sample."""
+    plan, _ = _sample(spark, d)
+    return spark.createDataFrame(sampling.margin_report(plan, CELL), "category string, value string, target double, goal bigint, available bigint")
+
+
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     plan, units = _sample(spark, d)
     cells = spark.createDataFrame(plan[["cell_id", "probability", *CELL]].astype({c: "Int32" for c in ["cell_id", *CELL]}), "cell_id int, probability double, sex int, geog_region int, agegrp int")
@@ -78,6 +91,18 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.pivotal(drawn, "record_id", "cell_id", "probability").select(F.col("unit").alias("record_id"), F.col("cell").alias("cell_id"))
 
 
+def p5_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Rows drawn from each cell, up to its required rows, and (cell_id null) in all."""
+    cells = table(spark, d, "sample_targets").select("cell_id", "target_ppm", "min_rows")
+    plan, _ = _sample(spark, d)
+    required = spark.createDataFrame(plan[["cell_id", "required"]], "cell_id int, required bigint")
+    drawn = p5_sample(spark, d).groupBy("cell_id").agg(F.count_distinct("record_id").alias("n"))
+    by_cell = cells.join(required, "cell_id").join(drawn, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).alias("n"), "required")
+    # 180 cells: the row of all is added in the same pass.
+    both = by_cell.select(F.explode(F.array(F.struct("cell_id", F.least("n", "required").alias("n")), F.struct(F.lit(None).cast("int").alias("cell_id"), F.col("n").alias("n")))).alias("r"))
+    return both.groupBy("r.cell_id").agg(F.sum("r.n").alias("n_drawn"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -97,7 +122,7 @@ def p9_folded(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_load_percentiles": p1_load_percentiles, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p2_terms": p2_terms, "p5_found": p5_found, "p5_report": p5_report,
-    "p5_sample": p5_sample, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_folded": p9_folded,
+    "p5_gaps": p5_gaps, "p5_margins": p5_margins, "p5_sample": p5_sample, "p5_drawn": p5_drawn, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_folded": p9_folded,
 }
 
 _G = (1 + ACCURACY) / (1 - ACCURACY)
@@ -139,5 +164,10 @@ ORACLES = {
     "p1_percentiles": _percentile_sql("", "column_name, geog_region"),
     "p2_found": _TERMS + "SELECT field_name, field_value, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT field_name, field_value, n_rows, n_records, mark FROM m",
+    "p5_gaps": _PLANNED + "SELECT cell_id, available, CAST(required AS BIGINT) AS required, CAST(least(available, required) AS BIGINT) AS met, CAST(greatest(required - available, 0) AS BIGINT) AS gap FROM r",
+    "p5_drawn": _PLANNED
+    + """SELECT cell_id, CAST(least(available, required) AS BIGINT) AS n_drawn FROM r
+UNION ALL SELECT NULL, CAST(least((SELECT count(*) FROM u JOIN (SELECT DISTINCT sex, geog_region, agegrp FROM sample_targets WHERE target_ppm > 0) t ON t.sex IS NOT DISTINCT FROM u.sex AND t.geog_region IS NOT DISTINCT FROM u.geog_region AND t.agegrp IS NOT DISTINCT FROM u.agegrp),
+  greatest((SELECT s FROM size), (SELECT sum(least(available, required)) FROM r))) AS BIGINT)""",
     "p5_found": _PLANNED + "SELECT cell_id FROM r WHERE available < required",
 }

@@ -54,18 +54,56 @@ def test_term_frequency(spark):
 
 
 def test_calibration_reproduces_totals():
-    counts, cells = np.array([100, 200, 300, 50]), np.array([[1, 0, 1, 0], [1, 0, 0, 1], [0, 1, 1, 0], [0, 1, 0, 1]])
+    """Two overlapping margins, two cells each: the totals are met and every cell is a product of a factor per margin."""
+    start, cells = np.array([10.0, 20, 30, 5]), np.array([[1, 0, 1, 0], [1, 0, 0, 1], [0, 1, 1, 0], [0, 1, 0, 1]])
     totals = np.array([30, 20, 25, 25.0])
-    assert cells.T @ (counts * cs.calibrate(counts, totals, cells)) == pytest.approx(totals)
-    assert cs.calibrate(np.array([10, 0, 5]), np.array([5.0, 3.0, 0.0]), np.eye(3)) == pytest.approx([0.5, 0, 0])
+    x = cs.calibrate(start, np.zeros(4), np.full(4, 1e9), cells, totals)
+    assert cells.T @ x == pytest.approx(totals, abs=1e-3)
+    f = x / start
+    assert f[0] * f[3] == pytest.approx(f[1] * f[2], rel=1e-4)
+    # Limits are kept, and the other cells take over what they may not give.
+    x = cs.calibrate(start, np.array([0, 0, 12.0, 0]), np.array([99, 19, 99, 99.0]), cells, totals)
+    assert x[1] <= 19 and x[2] >= 12 and cells.T @ x == pytest.approx(totals, abs=1e-3)
+    assert cs.calibrate(np.array([5.0, 3.0, 0.0]), np.zeros(3), np.array([9, 2, 9]), np.eye(3), np.array([5.0, 3.0, 0.0])) == pytest.approx([5, 2, 0], abs=1e-3)
+
+
+def test_calibration_against_projected_search():
+    """The least exponential-tilting distance with the penalty of missed margins, by plain coordinate search."""
+    rng = np.random.default_rng(8)
+    start, low, high = np.array([4.0, 6, 2, 8]), np.array([1.0, 0, 0, 3]), np.array([5.0, 20, 3, 20])
+    cells, totals, ridge = np.array([[1, 0, 1], [1, 0, 1], [0, 1, 1], [0, 1, 1.0]]), np.array([14.0, 9, 22]), np.array([0.5, 0.5, 0.01])
+    cost = lambda x: float((x * np.log(np.maximum(x, 1e-300) / start) - x + start).sum() + (((totals - cells.T @ x) ** 2) / (2 * ridge)).sum())
+    x = cs.calibrate(start, low, high, cells, totals, ridge)
+    for _ in range(3000):
+        y = np.clip(x + rng.normal(0, 10.0 ** -rng.integers(0, 5), 4), low, high)
+        assert cost(y) >= cost(x) - 1e-7
 
 
 def test_plan():
-    cells = pd.DataFrame({"available": [1000, 5, 0, 400], "target_ppm": [500_000, 300_000, 100_000, 100_000], "min_rows": [0, 0, 2, 80]})
-    p = cs.plan_sample(cells, 100)
+    cells = pd.DataFrame({"a": [1, 1, 2, None], "b": [1, 2, 1, 2], "available": [1000, 5, 0, 400], "target_ppm": [500_000, 300_000, 100_000, 100_000], "min_rows": [0, 0, 2, 80]})
+    p = cs.plan_sample(cells, 100, ["a", "b"])
     assert list(p["required"]) == [50, 30, 10, 80] and list(p["gap"]) == [0, 25, 10, 0] and list(p["goal"])[1:3] == [5, 0]
-    assert p["goal"].sum() >= 100 and p["goal"].iloc[3] >= 80
+    assert p["goal"].sum() == 135 and p["goal"].iloc[3] >= 80
     assert cs.required_rows(1, 0, 999_999) == 1 and cs.required_rows(0, 0, 10) == 0
+    # What a cell lacks is given by the cell of its own margin, not by the others.
+    cells = pd.DataFrame({"a": [1, 1, 2, 2], "b": [1, 2, 1, 2], "available": [10, 1000, 1000, 1000], "target_ppm": [250_000] * 4, "min_rows": [0] * 4})
+    p = cs.plan_sample(cells, 400, ["a"])
+    assert p["goal"].sum() == 400 and abs(p["goal"].iloc[1] - 190) <= 1 and list(p["goal"].iloc[2:]) == [100, 100]
+    report = cs.margin_report(p, ["a"])
+    assert list(report["category"]) == ["a", "a", "all"] and report["goal"].iloc[2] == 400
+    # Less than the size is there at all: everything is taken, whatever the margins.
+    p = cs.plan_sample(cells, 4000, ["a", "b"])
+    assert list(p["goal"]) == [10, 1000, 1000, 1000] and cs.margin_report(p, ["a", "b"])["target"].iloc[-1] == 4000
+
+
+def test_whole_rows():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = rng.integers(1, 8)
+        low, high = rng.integers(0, 5, n), rng.integers(5, 30, n)
+        x, total = rng.uniform(low, high), int(rng.integers(0, 200))
+        got = cs.whole_rows(x, low, high, total)
+        assert (got >= low).all() and (got <= high).all() and got.sum() == min(max(total, low.sum()), high.sum())
 
 
 def test_pivotal_sizes_and_rates(spark):
@@ -81,8 +119,15 @@ def test_pivotal_sizes_and_rates(spark):
 
 def test_duels_are_fair():
     rng = np.random.default_rng(5)
-    taken = sum(cs._duel(np.full(10, 0.3), rng.random(10), False)[0].astype(int) for _ in range(4000)) / 4000
-    assert taken == pytest.approx(np.full(10, 0.3), abs=0.03)
+    cell, p = np.repeat([0, 1], [10, 9]), np.repeat([0.3, 0.7], [10, 9])
+    taken = np.zeros(19)
+    for _ in range(4000):
+        took, left = cs.duels(cell, p, rng.integers(0, 1 << 63, 19).astype(np.uint64))
+        assert (took[cell == 0] == 1).sum() == 3 and not (took[cell == 0] == -1).any() and (took[cell == 1] == -1).sum() == 1
+        # The sum of a cell is kept: 6 are in, and one is left with what is missing.
+        assert (took[cell == 1] == 1).sum() + left[took == -1].sum() == pytest.approx(6.3)
+        taken += (took == 1) + np.where(took == -1, left, 0)
+    assert taken / 4000 == pytest.approx(p, abs=0.035)
 
 
 def test_report_and_cells(spark):

@@ -161,9 +161,15 @@ def take_whole(left: dict[int, int], capacity: int) -> tuple[list[tuple[Counter,
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Counter, int]], float]:
     """(contents, number of containers) that hold exactly the counted sizes, and the lower bound."""
+    by_program, by_best_fit, bound = plan_parts(histogram, capacity)
+    return by_program + by_best_fit, bound
+
+
+def plan_parts(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Counter, int]], list[tuple[Counter, int]], float]:
+    """What the rounded program and the best fit place, and the lower bound."""
     left = {int(s): int(n) for s, n in histogram.items() if 0 < s <= capacity and n > 0}
     if not left:
-        return [], 0.0
+        return [], [], 0.0
     load = sum(s * n for s, n in left.items())
     plan, bound = take_whole(left, capacity)
     rest = sum(s * n for s, n in left.items())
@@ -173,7 +179,7 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
             break
         plan += more
         rest = sum(s * n for s, n in left.items())
-    return plan + best_fit(left, capacity), bound
+    return plan, best_fit(left, capacity), bound
 
 
 def plan_table(plan: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,6 +204,26 @@ def pieces(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return cut_up.select(key, "piece_no", first.alias("first_unit"), F.least(F.lit(capacity), F.col("__n") - first).cast("int").alias("size"))
 
 
+def size_histogram(table: DataFrame) -> dict[int, int]:
+    """size -> number of pieces: at most capacity + 1 rows, whatever the number of items."""
+    return {r["size"]: r["n"] for r in table.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def pack_report(items: DataFrame, size: str, capacity: int) -> dict[str, int | float]:
+    """How the items would be placed: counts, the lower bound of containers, and the parts of the program and of best fit.
+
+    n_full_pieces: pieces that fill a container alone; the program places them too.
+    """
+    n = F.count(F.lit(1))
+    counted = pieces(items, size, size, capacity).groupBy("size").agg(n.alias("n"), F.count_if(F.col("piece_no") == 0).alias("first")).collect()  # at most capacity + 1 rows
+    held = {r["size"]: r["n"] for r in counted}
+    program, rest, bound = plan_parts(held, capacity)
+    return {
+        "n_items": sum(r["first"] for r in counted), "n_ids": sum(s * n for s, n in held.items()), "n_containers": sum(n for _, n in program + rest), "lower_bound": bound, "n_by_program": sum(n for _, n in program),
+        "n_by_best_fit": sum(n for _, n in rest), "ids_by_best_fit": sum(n * sum(s * k for s, k in c.items()) for c, n in rest), "n_full_pieces": held.get(capacity, 0),
+    }
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """key, piece_no, first_unit, size, container_id of every piece of every item.
 
@@ -208,7 +234,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     if capacity < 1:
         raise ValueError("capacity must be positive")
     table = cut(pieces(items, key, size, capacity))
-    histogram = {r["size"]: r["n"] for r in table.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
+    histogram = size_histogram(table)
     plan, _ = plan_containers(histogram, capacity)
     containers = max(1, sum(n for _, n in plan))
     runs = table.sparkSession.sparkContext.broadcast((plan_table(plan), containers))

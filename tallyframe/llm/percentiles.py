@@ -28,33 +28,40 @@ def bucket(v: Column, accuracy: float) -> Column:
     return F.when(v.isNull() | F.isnan(v), None).when(v < 0, -code).otherwise(code).cast("int")
 
 
-def bucket_value(code: Column, accuracy: float) -> Column:
+def bucket_value(code: Column, accuracy: Column) -> Column:
     g = (1 + accuracy) / (1 - accuracy)
-    size = F.when(F.abs(code) == 2 * OFFSET, F.lit(float("inf"))).otherwise(F.exp((F.abs(code) - OFFSET) * F.lit(math.log(g))) * F.lit(2 / (g + 1)))
+    size = F.when(F.abs(code) == 2 * OFFSET, F.lit(float("inf"))).otherwise(F.exp((F.abs(code) - OFFSET) * F.ln(g)) * (2 / (g + 1)))
     return F.when(code == 0, F.lit(0.0)).otherwise(F.signum(code) * size)
 
 
 def sketch(df: DataFrame, columns: list[str], keys: list[str], accuracy: float = 0.01) -> DataFrame:
-    """column_name, the keys, bucket, n: the counted buckets of each column per key.
+    """column_name, the keys, bucket, accuracy, n: the counted buckets of each column per key.
 
-    Null is a key. The bucket null holds the null and NaN values. An empty table gives an empty sketch.
+    The accuracy goes with the sketch, as buckets of another width mean other values. Null is a key. The bucket null holds the null and NaN values. An empty table gives an empty sketch.
     One scan, one shuffle of counts already added up in each task.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), bucket(F.col(f"`{c}`").cast("double"), accuracy).alias("bucket")) for c in columns])
     long = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(cells).alias("__c"))
-    return long.groupBy(F.col("__c.column_name").alias("column_name"), *keys, F.col("__c.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counted = long.groupBy(F.col("__c.column_name").alias("column_name"), *keys, F.col("__c.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("column_name", *keys, "bucket", F.lit(float(accuracy)).alias("accuracy"), "n")
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Add up sketches (a union of them, or one at finer keys) to the given keys."""
-    return sketches.groupBy("column_name", *keys, "bucket").agg(F.sum("n").alias("n"))
+    """Add up sketches (a union of them, or one at finer keys) to the given keys.
+
+    Sketches of different accuracy have no common buckets: to add them up is an error when the plan runs.
+    """
+    most = F.max("accuracy")
+    same = F.when(F.min("accuracy") == most, most).otherwise(F.raise_error(F.lit("sketches of different accuracy")).cast("double"))
+    return sketches.groupBy("column_name", *keys, "bucket").agg(same.alias("accuracy"), F.sum("n").alias("n"))
 
 
-def percentiles(sketched: DataFrame, keys: list[str], probs: list[float], accuracy: float = 0.01) -> DataFrame:
+def percentiles(sketched: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """column_name, keys, n_values, n_missing, p, estimate, max_relative_error.
 
     The estimate is within the relative error of the value of rank floor(p (n - 1)) from 0 in sort
-    order. A key without values gets null estimates. accuracy must be that of the sketch.
+    order. A key without values gets null estimates. The relative error is the accuracy of the sketch; a key whose
+    buckets have several accuracies is an error when the plan runs.
     """
     group = ["column_name", *keys]
     w = Window.partitionBy(*group)
@@ -63,7 +70,8 @@ def percentiles(sketched: DataFrame, keys: list[str], probs: list[float], accura
     hits = [
         F.min(F.when(F.col("bucket").isNotNull() & (F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1))), F.col("bucket"))).alias(f"b{i}") for i, p in enumerate(probs)
     ]
-    per_key = run.groupBy(*group).agg(F.sum(valued).alias("n_values"), (F.sum("n") - F.sum(valued)).alias("n_missing"), *hits)
-    rows = F.array(*[F.struct(F.lit(p).alias("p"), bucket_value(F.col(f"b{i}"), accuracy).alias("estimate")) for i, p in enumerate(probs)])
-    out = per_key.select(*group, "n_values", "n_missing", F.explode(rows).alias("__r"))
-    return out.select(*group, "n_values", "n_missing", F.col("__r.p").alias("p"), F.col("__r.estimate").alias("estimate"), F.lit(accuracy).alias("max_relative_error"))
+    one = F.when(F.min("accuracy") == F.max("accuracy"), F.max("accuracy")).otherwise(F.raise_error(F.lit("sketches of different accuracy")).cast("double"))
+    per_key = run.groupBy(*group).agg(one.alias("__accuracy"), F.sum(valued).alias("n_values"), (F.sum("n") - F.sum(valued)).alias("n_missing"), *hits)
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), bucket_value(F.col(f"b{i}"), F.col("__accuracy")).alias("estimate")) for i, p in enumerate(probs)])
+    out = per_key.select(*group, "n_values", "n_missing", "__accuracy", F.explode(rows).alias("__r"))
+    return out.select(*group, "n_values", "n_missing", F.col("__r.p").alias("p"), F.col("__r.estimate").alias("estimate"), F.col("__accuracy").alias("max_relative_error"))

@@ -7,12 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import calibrated_sample as sampling
-from tallyframe.llm.lookalike import folded_texts, lookalike_pairs
-from tallyframe.llm.packing import pack
+from tallyframe.llm.lookalike import VISIBLE, class_sizes, fold_sql, folded_texts, lookalike_pairs
+from tallyframe.llm.packing import pack, pack_report
 from tallyframe.llm.percentiles import OFFSET, merge, percentiles, sketch
 from tallyframe.llm.term_frequency import term_frequency
 from tallyframe.llm.tokenizer import count_column, encode_column
-from tallyframe.plans.scale import table
+from tallyframe.plans.scale import cut, table
 
 ACCURACY = 0.01
 PROBS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -29,12 +29,12 @@ def p1_load_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each load (scope: its number) and, from the added sketches, of all loads (scope all)."""
     scopes = F.explode(F.array(F.coalesce(F.col("load_id").cast("string"), F.lit("null")), F.lit("all")))
     both = merge(_per_load(spark, d).withColumn("scope", scopes), ["scope", "geog_region"])
-    out = percentiles(both, ["scope", "geog_region"], PROBS, ACCURACY)
+    out = percentiles(both, ["scope", "geog_region"], PROBS)
     return out.withColumn("estimate", F.round("estimate", 6))
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    out = percentiles(merge(_per_load(spark, d), ["geog_region"]), ["geog_region"], PROBS, ACCURACY)
+    out = percentiles(merge(_per_load(spark, d), ["geog_region"]), ["geog_region"], PROBS)
     return out.withColumn("estimate", F.round("estimate", 6))
 
 
@@ -112,6 +112,27 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_ids", CAPACITY)
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the lower bound, and what the program and the best fit placed of them."""
+    sizes = count_column(table(spark, d, "documents"), "doc_id", "text")
+    return spark.createDataFrame([pack_report(sizes, "n_ids", CAPACITY)], "n_items bigint, n_ids bigint, n_containers bigint, lower_bound double, n_by_program bigint, n_by_best_fit bigint, ids_by_best_fit bigint, n_full_pieces bigint")
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every document and every id of it placed once, none divided without need, no container overfull."""
+    sizes = count_column(table(spark, d, "documents"), "doc_id", "text")
+    packed = cut(pack(sizes, "doc_id", "n_ids", CAPACITY))
+    wide = F.col("size").cast("bigint")
+    by_item = packed.groupBy("doc_id").agg(F.sum(wide).alias("n"), F.count(F.lit(1)).alias("n_pieces"), F.max(F.col("first_unit") + wide).alias("upto"), F.count_distinct("first_unit").alias("places"))
+    # A piece but the last fills a container: pieces that add up to the document and start at multiples of the capacity cover it once.
+    kept = sizes.join(by_item, "doc_id", "left").agg(
+        F.count("n_pieces").alias("n_placed"), F.count_if((F.col("n") != F.col("n_ids")) | (F.col("upto") != F.col("n_ids")) | (F.col("places") != F.col("n_pieces"))).alias("n_incomplete"),
+        F.count_if(F.col("n_pieces") > F.greatest(F.ceil(F.col("n_ids") / CAPACITY), F.lit(1))).alias("n_divided_without_need"),
+    )
+    over = packed.groupBy("container_id").agg(F.sum(wide).alias("held")).agg(F.count_if(F.col("held") > CAPACITY).alias("n_overfull"))
+    return kept.crossJoin(F.broadcast(over))  # one row each
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -120,9 +141,14 @@ def p9_folded(spark: SparkSession, d: str) -> DataFrame:
     return folded_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every form that several texts have: texts, documents and pairs, which need not be written to be counted."""
+    return class_sizes(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_load_percentiles": p1_load_percentiles, "p1_percentiles": p1_percentiles, "p2_found": p2_found, "p2_terms": p2_terms, "p5_found": p5_found, "p5_report": p5_report,
-    "p5_gaps": p5_gaps, "p5_margins": p5_margins, "p5_sample": p5_sample, "p5_drawn": p5_drawn, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_folded": p9_folded,
+    "p5_gaps": p5_gaps, "p5_margins": p5_margins, "p5_sample": p5_sample, "p5_drawn": p5_drawn, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p8_checked": p8_checked, "p9_found": p9_found, "p9_folded": p9_folded, "p9_classes": p9_classes,
 }
 
 _G = (1 + ACCURACY) / (1 - ACCURACY)
@@ -159,7 +185,15 @@ have AS (SELECT t.cell_id, count(u.record_id) AS available FROM sample_targets t
 r AS (SELECT t.cell_id, available, greatest(t.min_rows, (t.target_ppm * s + 999999) // 1000000) AS required FROM sample_targets t JOIN have USING (cell_id), size)
 """
 
+_FOLDED = f"WITH f AS (SELECT doc_id, text, {fold_sql('text')} AS form FROM documents), v AS (SELECT * FROM f WHERE text IS NOT NULL AND regexp_matches(form, '{VISIBLE}'))"
+
 ORACLES = {
+    "p8_checked": "SELECT count(*) AS n_placed, CAST(0 AS BIGINT) AS n_incomplete, CAST(0 AS BIGINT) AS n_divided_without_need, CAST(0 AS BIGINT) AS n_overfull FROM documents",
+    "p9_folded": f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents",
+    "p9_found": _FOLDED + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p9_classes": _FOLDED
+    + """, t AS (SELECT form, text, count(*) AS n FROM v GROUP BY ALL)
+SELECT sha256(form) AS class_id, count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_rows, CAST((sum(n) ^ 2 - sum(n * n)) / 2 AS BIGINT) AS n_pairs FROM t GROUP BY form HAVING count(*) > 1""",
     "p1_load_percentiles": _percentile_sql("unnest([coalesce(CAST(load_id AS VARCHAR), 'null'), 'all']) AS scope, ", "scope, column_name, geog_region"),
     "p1_percentiles": _percentile_sql("", "column_name, geog_region"),
     "p2_found": _TERMS + "SELECT field_name, field_value, mark FROM m WHERE mark IS NOT NULL",

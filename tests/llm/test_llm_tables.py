@@ -20,7 +20,7 @@ def test_percentile_error_and_merging(spark):
     df = spark.createDataFrame(rows, "load int, region string, v double").withColumn("n", F.lit(1)).withColumn("bucket", F.lit(1))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     per_load = sketch(df, ["v"], ["load", "region"], 0.01)
-    got = percentiles(merge(per_load, ["region"]), ["region"], probs, 0.01).collect()
+    got = percentiles(merge(per_load, ["region"]), ["region"], probs).collect()
     for region in ("r", None):
         v = sorted(x for _, g, x in rows if g == region)
         for r in (r for r in got if r["region"] == region):
@@ -35,6 +35,13 @@ def test_percentile_error_and_merging(spark):
     assert percentiles(sketch(df.limit(0), ["v"], ["region"]), ["region"], probs).count() == 0
     with pytest.raises(ValueError):
         sketch(df, ["v"], [], 0.0)
+    # Sketches of different accuracy do not add up silently.
+    other = sketch(df, ["v"], ["region"], 0.02)
+    assert {r["max_relative_error"] for r in percentiles(other, ["region"], [0.5]).collect()} == {0.02}
+    mixed = sketch(df, ["v"], ["region"], 0.01).unionByName(other)
+    for bad in (percentiles(mixed, ["region"], probs), merge(mixed, ["region"])):
+        with pytest.raises(Exception, match="different accuracy"):
+            bad.collect()
 
 
 def test_term_frequency(spark):

@@ -168,7 +168,7 @@ def test_pack(spark, monkeypatch, salt_rows):
 
 
 SAME = ["Café x", "Café x", "Ｃａｆé x", "Caf​é\xa0x", "Саfе́ x", "Café x﻿", "C­afé ⁠x"]
-OTHER = ["Cafe x", "café x", "Café  x", "Café x\n", "Café\tx", "Café x.", "Cafè x", "Café 1", "ﬁ", "fi", "x²", "x2"]
+OTHER = ["Cafe x", "café x", "Café  x", "Café x\n", "Café\tx", "Café x.", "Cafè x", "Café 1", "x²", "x2", "x₂", "½", "1/2", "①", "1", "α", "a", "ſ", "s", "ρ", "p", "a b", "a\u2003b"]
 
 
 def test_fold(spark):
@@ -185,6 +185,31 @@ def test_fold(spark):
     assert f[1] == f[2] == f[3] and f[4] == f[5] == f[6]
 
 
+ALIKE = [
+    ("ﬁle", "file"), ("ﬄ", "ffl"), ("𝐀𝒷𝟗", "Ab9"), ("Ⅳ", "IV"), ("ⅷ", "viii"), ("x\u3164y", "xy"), ("x\uffa0y", "xy"), ("ӏist", "list"), ("Үes", "Yes"), ("օk", "ok"), ("ν2", "v2"), ("ᎪᏢᏞ", "APL"), ("ꓢꓰꓔ", "SET"), ("ⲞⲢ", "OP"),
+    ("…", "..."), ("℃", "°C"), ("⑴", "(1)"), ("a\u2011b", "a-b"), ("\uffe3", "\u00af"), ("ﾡ", "ㄱ"), ("ｶﾞ", "ガ"), ("𝐀\u0301", "Á"), ("𝚨", "A"), ("㎏"[:0] + "Ĳ", "IJ"), ("͵Ϳ", "͵J"), ("⼀", "一"), ("‼", "!!"), ("Ǆ", "DŽ"), ("\u1fbb", "\u0386"),
+]
+
+
+def test_forms_that_look_alike():
+    import duckdb
+
+    con = duckdb.connect()
+    fold = lambda t: con.execute(f"SELECT {lookalike.fold_sql('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchall()[0][0]
+    for a, b in ALIKE:
+        assert fold(a) == fold(b), (a, b)
+        assert fold(fold(a)) == fold(a)
+    for a, b in (lookalike.CYRILLIC, lookalike.GREEK, lookalike.ARMENIAN, lookalike.CHEROKEE, lookalike.COPTIC, lookalike.LISU):
+        assert len(a) == len(b) == len(set(a)) and fold(a) == b and b.isascii()
+
+
+def test_class_sizes(spark):
+    texts = ["ab", "аb", "a\u200bb", "ab", "x", "x", None, "", "\u200b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("n", F.lit(1))
+    assert [(r["n_texts"], r["n_rows"], r["n_pairs"]) for r in lookalike.class_sizes(df, "doc_id", "text").collect()] == [(3, 4, 5)]
+    assert lookalike.class_sizes(df.limit(0), "doc_id", "text").count() == 0
+
+
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_pairs(spark, hot, monkeypatch):
     texts = [SAME[0]] * 5 + SAME[1:] + OTHER * 2 + [None, "", " ", "​", "\xa0", "​ ", "p​" * 20_000, "p" * 20_000, "q'q", "q­'q"]

@@ -6,17 +6,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tallyframe.plans.scale import cut
+from tallyframe.plans.scale import BROADCAST_ROWS, cut
 
 
 def with_ordinals(df: DataFrame, order_by: list[str] | None = None, name: str = "row_ordinal") -> DataFrame:
-    """df with dense ordinals 0..n-1 in the given order, or in the order of the input partitions.
+    """df with dense ordinals 0..n-1 in the given order (nulls first), or in the order of the input partitions.
 
     Ordinals are ranks within a partition plus the rows of the partitions before; no task sees all rows.
-    With order_by, rows are range-partitioned first; ties get ordinals in any order.
+    With order_by, rows are range-partitioned by sampled bounds first. Ties get ordinals in any order, and a row's
+    place in the input is part of the range key, so a value that many rows share is split too.
     """
     if order_by:
-        df = df.repartitionByRange(*[F.col(f"`{c}`") for c in order_by]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order_by])
+        # __place is no sort key of the caller: it only divides ties.
+        keys = [*[F.col(f"`{c}`") for c in order_by], F.col("__place")]
+        df = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__place")
     # The id holds the partition in its upper bits and the rank in it in the lower 33. Written once, so both uses see the same.
     kept = cut(df.withColumn("__id", F.monotonically_increasing_id()))
     part, rank = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
@@ -26,21 +29,14 @@ def with_ordinals(df: DataFrame, order_by: list[str] | None = None, name: str =
     return joined.withColumn(name, rank + F.col("__before")).drop("__id", "__part", "__before")
 
 
-def ranked_ordinals(df: DataFrame, key: str, name: str = "row_ordinal", buckets: int = 1000) -> DataFrame:
-    """Dense ordinals by a whole-number key, all in one plan: a count per key range, then ranks in a range.
+def take_rows(df: DataFrame, ordinals: DataFrame | list[int], ordinal: str = "row_ordinal") -> DataFrame:
+    """The rows with the given ordinals (a list, or the first column of a DataFrame), each once; null and unknown ones give none.
 
-    Each range is ranked on its own and the counts of the ranges before are added. Null keys come first;
-    equal keys get ordinals in any order.
+    A list becomes a condition on the ordinal that reaches the scan; a DataFrame is joined by equality.
     """
-    k = F.col(f"`{key}`").cast("double")
-    ends = df.agg(F.min(k).alias("__low"), F.max(k).alias("__high"))
-    # One row, attached to every row; equal ends put all rows in one range.
-    part = F.coalesce(F.floor(F.try_divide((k - F.col("__low")) * (buckets - 1), F.col("__high") - F.col("__low"))), F.when(k.isNull(), F.lit(-1)).otherwise(0))
-    ranged = df.crossJoin(F.broadcast(ends)).withColumn("__part", part).drop("__low", "__high")
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    ranked = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(F.col(f"`{key}`").asc_nulls_first())) - 1)
-    return ranked.join(before, F.col("__part") == F.col("__p")).withColumn(name, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__part", "__p", "__before", "__rank")
+    if isinstance(ordinals, list):
+        return df.where(F.col(f"`{ordinal}`").isin(sorted({o for o in ordinals if o is not None})))
+    return df.join(_one(ordinals).select(F.col("v").alias("__o")), F.col(f"`{ordinal}`") == F.col("__o"), "left_semi")
 
 
 def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, ordinal: str = "row_ordinal") -> DataFrame:
@@ -95,6 +91,24 @@ def union(*sets: DataFrame) -> DataFrame:
     return unique(*sets)
 
 
+def intersect_by(a: DataFrame, b: DataFrame, method: str = "auto") -> DataFrame:
+    """Values in both sets, by a chosen algorithm.
+
+    sparse: the smaller set is broadcast and looked up in the other, for sets of very different size; only up to
+    BROADCAST_ROWS of it, as counted, otherwise by shuffle. dense: one shuffle of both. auto leaves it to the optimiser.
+    """
+    left, right = _one(a).distinct(), _one(b).distinct()
+    if method == "auto":
+        return intersect(a, b)
+    if method == "dense":
+        return left.join(right.hint("shuffle_hash"), "v", "left_semi")
+    if method != "sparse":
+        raise ValueError(f"unknown method {method!r}")
+    n_left, n_right = left.count(), right.count()
+    big, small, n = (left, right, n_right) if n_right <= n_left else (right, left, n_left)
+    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, "v", "left_semi")
+
+
 def _membership(sets: tuple[DataFrame, ...]) -> DataFrame:
     """v and the bits of the sets that hold it: one shuffle for any number of sets."""
     tagged = reduce(DataFrame.unionAll, [_one(s).withColumn("bit", F.lit(1 << i).cast("bigint")) for i, s in enumerate(sets)])

@@ -316,14 +316,17 @@ add("set_difference", lambda s, d: rowset.difference(_CUST(s, d), _SUPP(s, d)),
 add("set_outersect", lambda s, d: rowset.outersect(_CUST(s, d), _SUPP(s, d)), f"(({_CS}) UNION ({_SS})) EXCEPT (({_CS}) INTERSECT ({_SS}))")
 add(
     "value_positions",
-    lambda s, d: rowset.value_positions(rowset.ranked_ordinals(table(s, d, "orders"), "o_orderkey"), table(s, d, "lineitem").where("l_quantity = 50").select("l_orderkey"), "o_orderkey"),
+    lambda s, d: rowset.value_positions(rowset.with_ordinals(table(s, d, "orders"), ["o_orderkey"]), table(s, d, "lineitem").where("l_quantity = 50").select("l_orderkey"), "o_orderkey"),
     "SELECT pos FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)",
 )
 _RANKED = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_ordinal FROM orders"
-add("slice", lambda s, d: rowset.slice_rows(rowset.ranked_ordinals(table(s, d, "orders"), "o_orderkey"), 10, 500, 7).select("o_orderkey", "row_ordinal"), f"SELECT * FROM ({_RANKED}) WHERE row_ordinal BETWEEN 10 AND 499 AND (row_ordinal - 10) % 7 = 0")
-add("page", lambda s, d: rowset.page(rowset.ranked_ordinals(table(s, d, "orders"), "o_orderkey"), 3, 50).select("o_orderkey", "row_ordinal"), f"SELECT * FROM ({_RANKED}) WHERE row_ordinal BETWEEN 150 AND 199")
-add("sample_exact", lambda s, d: rowset.sample_rows(rowset.ranked_ordinals(table(s, d, "orders"), "o_orderkey"), 0.1).select("o_orderkey"))
-add("sample_size", lambda s, d: rowset.sample_rows(rowset.ranked_ordinals(table(s, d, "orders"), "o_orderkey"), 0.1).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS n FROM orders")
+add("slice", lambda s, d: rowset.slice_rows(rowset.with_ordinals(table(s, d, "orders"), ["o_orderkey"]), 10, 500, 7).select("o_orderkey", "row_ordinal"), f"SELECT * FROM ({_RANKED}) WHERE row_ordinal BETWEEN 10 AND 499 AND (row_ordinal - 10) % 7 = 0")
+add("page", lambda s, d: rowset.page(rowset.with_ordinals(table(s, d, "orders"), ["o_orderkey"]), 3, 50).select("o_orderkey", "row_ordinal"), f"SELECT * FROM ({_RANKED}) WHERE row_ordinal BETWEEN 150 AND 199")
+add("take_rows", lambda s, d: rowset.take_rows(rowset.with_ordinals(table(s, d, "orders"), ["o_orderkey"]), [0, 3, 3, 700, -1]).select("o_orderkey", "row_ordinal"), f"SELECT * FROM ({_RANKED}) WHERE row_ordinal IN (0, 3, 700)")
+for _m in ("sparse", "dense"):
+    add(f"set_intersect_{_m}", lambda s, d, m=_m: rowset.intersect_by(_CUST(s, d), _SUPP(s, d), m), f"{_CS} INTERSECT {_SS}")
+add("sample_exact", lambda s, d: rowset.sample_rows(rowset.with_ordinals(table(s, d, "orders"), ["o_orderkey"]), 0.1).select("o_orderkey"))
+add("sample_size", lambda s, d: rowset.sample_rows(rowset.with_ordinals(table(s, d, "orders"), ["o_orderkey"]), 0.1).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS n FROM orders")
 
 # -- projections and conversions
 add("age_bands", lambda s, d: table(s, d, "nhds").select("row_ordinal", dates.age_group(F.col("age")).alias("band")), "SELECT row_ordinal, CASE WHEN age >= 0 THEN CAST(least(floor(age / 5) + 1, 18) AS INT) END AS band FROM nhds")

@@ -31,3 +31,41 @@ def test_join_small_ways_agree(spark, monkeypatch):
     first = rows()
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
     assert rows() == first and len(first) == 200
+
+
+def test_salts_of_equal_rows(spark):
+    """A key with three values, and many rows of each, is spread over every salt."""
+    df = spark.range(100_000).select(F.lit("hot").alias("k"), (F.col("id") % 3).alias("v")).withColumn("salt", scale.row_salt(32))
+    counts = {r["salt"]: r["count"] for r in df.groupBy("salt").count().collect()}
+    assert set(counts) == set(range(32)) and max(counts.values()) < 2 * min(counts.values())
+
+
+def test_hot_key_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), (1.0 + (F.col("id") % 4999) / 1e7).alias("v"))
+    want = {r["k"]: r["mid"] for r in df.groupBy("k").agg(F.expr("percentile(v, 0.5)").alias("mid")).collect()}
+    got = keyed_stats(df, ["k"], "v", (0.5,)).collect()
+    assert all(abs(r["q50"] - want[r["k"]]) < 1e-12 for r in got) and len(got) == len(want)
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    class Context:
+        master, folder = "spark://far:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext = Context()
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scale.ensure_checkpoint_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs:///shared"}
+    scale.ensure_checkpoint_dir(Session())
+    assert Session.sparkContext.folder == "hdfs:///shared"

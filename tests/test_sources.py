@@ -134,7 +134,14 @@ def test_row_sets(spark):
     n = spark.range(100, numPartitions=7).withColumnRenamed("id", "v")
     o = rowset.with_ordinals(n, ["v"])
     assert [r[0] for r in o.orderBy("v").select("row_ordinal").collect()] == list(range(100))
-    assert [r[0] for r in rowset.ranked_ordinals(n, "v", buckets=9).orderBy("v").select("row_ordinal").collect()] == list(range(100))
+    # Keys beyond the whole numbers of doubles, one of them on most rows, a null, and a column named like the ids.
+    far = [2**53 + i for i in range(40)] + [2**53 + 20] * 3000 + [None]
+    t = rowset.with_ordinals(spark.createDataFrame([(v, 0) for v in far], "v long, __n int").repartition(6), ["v"])
+    assert [r["v"] for r in sorted(t.collect(), key=lambda r: r["row_ordinal"])] == sorted(far, key=lambda v: (v is not None, v))
+    assert sorted(r["row_ordinal"] for r in t.collect()) == list(range(len(far))) and rowset.with_ordinals(n.limit(0), ["v"]).count() == 0
+    assert got(rowset.take_rows(o, [5, 5, None, 7, 500]).select("v")) == got(rowset.take_rows(o, f(5, 7, 7, None)).select("v")) == [5, 7]
+    for way in ("auto", "sparse", "dense"):
+        assert got(rowset.intersect_by(a, b, way)) == [2, 5]
     for s in (slice(10, 20), slice(-5, None), slice(None, None, 30), slice(50, 10, -7), slice(3, 3)):
         assert got(rowset.slice_rows(o, s.start, s.stop, s.step or 1).select("v")) == sorted(range(100)[s])
     assert got(rowset.page(o, 2, 10).select("v")) == list(range(20, 30))

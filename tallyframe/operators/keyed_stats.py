@@ -13,8 +13,11 @@ are always told apart in the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tallyframe.operators.quantiles import choose
 from tallyframe.plans.scale import cut, join_small
 
 BINS = 256
@@ -31,14 +34,6 @@ def _quantile_ranks(n: Column, p: float) -> list[Column]:
     return [clamp(F.when(exact, j).otherwise(j + 1)), clamp(j + 1)]
 
 
-def _chosen(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and target the bin that holds the rank: its range and the count below it."""
-    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "target").orderBy("bin")
-    upto = hist.withColumn("upto", F.col("below") + F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = upto.where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
-    return hit.select(*keys, "target", "rank", F.col("lo_seen").alias("lo"), F.col("hi_seen").alias("hi"), (F.col("upto") - F.col("n")).alias("below"))
-
-
 def keyed_stats(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Per key: n_rows, n_value, sum_value, mean_value, min_value, max_value, q<100p> per p, row_share.
 
@@ -63,29 +58,27 @@ def keyed_stats(df: DataFrame, keys: list[str], value: str, probs: tuple[float,
     total = hist.agg(F.sum("n")).first()[0] or 0
 
     targets = [(f"q{100 * p:g}".replace(".", "_"), p) for p in probs]
-    ranks = F.array(*[F.struct(F.lit(i).alias("target"), r.alias("rank")) for t, (_, p) in enumerate(targets) for i, r in zip((2 * t, 2 * t + 1), _quantile_ranks(F.col("n_value"), p))])
+    ranks = F.array(*[F.struct(F.lit(i).alias("target"), r.cast("double").alias("at"), F.lit(False).alias("strict")) for t, (_, p) in enumerate(targets) for i, r in zip((2 * t, 2 * t + 1), _quantile_ranks(F.col("n_value"), p))])
     resolved = None
     if probs:
-        wanted = moments.where("n_value > 0").select(*names, F.explode(ranks).alias("r")).select(*names, F.col("r.target").alias("target"), F.col("r.rank").alias("rank"))
-        right = hist.where(has)
-        right = right.select(*[F.col(k).alias(f"r_{k}") for k in names], "bin", "n", "lo_seen", "hi_seen")
-        cells = wanted.join(right, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in names]).withColumn("below", F.lit(0).cast("bigint"))
-        state = cut(_chosen(cells, names))
+        wanted = moments.where("n_value > 0").select(*[F.col(k).alias(f"r_{k}") for k in names], F.col("n_value").cast("double").alias("total"), ranks.alias("goals"))
+        cells = hist.where(has).join(wanted, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in names]).select(*names, "total", "goals", F.col("lo_seen").alias("lo"), F.col("hi_seen").alias("hi"), "n", F.col("n").cast("double").alias("bw"), F.lit(0.0).alias("before"))
+        state = cut(choose(cells, names, names))
         done = [state.where("lo = hi")]
         todo = state.where("lo < hi")
+        area = [*names, "total", "r_lo", "r_hi", "before"]
         while left := todo.count():
-            ranges = todo.select(*names, "target", "rank", "lo", "hi", "below")
-            rows = join_small(base.where("v is not null"), ranges, names, left).where("v between lo and hi")
+            # A range that several ranks lie in is one range: a row is counted once a pass.
+            ranges = todo.select(*names, "total", "goals", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"), "before")
+            rows = join_small(base.where("v is not null"), ranges, names, left).where("v between r_lo and r_hi")
             # Divided before it is subtracted: hi - lo may exceed the greatest double.
-            part = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-            placed = F.when(F.col("v") == F.col("hi"), BINS - 1).when(F.col("v") == F.col("lo"), 0).when(F.isnan(part), BINS // 2).otherwise(F.least(F.lit(BINS - 1), F.floor(part * BINS))).cast("int")
-            counts = rows.groupBy(*names, "target", "rank", "below", placed.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo_seen"), F.max("v").alias("hi_seen"))
-            state = cut(_chosen(counts, names))
+            part = (F.col("v") / 2 - F.col("r_lo") / 2) / (F.col("r_hi") / 2 - F.col("r_lo") / 2)
+            placed = F.when(F.col("v") == F.col("r_hi"), BINS - 1).when(F.col("v") == F.col("r_lo"), 0).when(F.isnan(part), BINS // 2).otherwise(F.least(F.lit(BINS - 1), F.floor(part * BINS))).cast("int")
+            counts = rows.groupBy(*area, "goals", placed.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            state = cut(choose(counts.withColumn("bw", F.col("n").cast("double")), area, names))
             done.append(state.where("lo = hi"))
             todo = state.where("lo < hi")
-        resolved = done[0]
-        for d in done[1:]:
-            resolved = resolved.unionByName(d)
+        resolved = reduce(DataFrame.unionByName, done).select(*names, F.explode("goals.target").alias("target"), "lo")
         resolved = resolved.groupBy(*names).agg(*[F.sum(F.when(F.col("target").isin(2 * i, 2 * i + 1), F.col("lo") / 2)).alias(q) for i, (q, _) in enumerate(targets)])
         resolved = resolved.select(*[F.col(k).alias(f"r_{k}") for k in names], *[q for q, _ in targets])
     out = moments

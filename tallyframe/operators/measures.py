@@ -3,7 +3,7 @@
 A measure is built from a few mergeable aggregates (sums, minima, maxima, counts) shared by all
 measures of a summary, and a closing expression over them. The aggregates are computed once at the finest
 grouping, combined map-side, and rolled up to every marginal from there. Quantiles are exact and are
-not sums: see `rank_values`.
+not sums: see the module quantiles.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import copy
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, functions as F
 
 from tallyframe.functions import intervals
 
@@ -372,6 +372,42 @@ class quantile(Measure):
         return F.when(j < 1, found[1]).otherwise((1 - (at - j)) * found[0] + (at - j) * found[1])
 
 
+    def closed(self, found: list[Column], total: Column) -> dict[str, Column]:
+        """The columns of the measure, by name."""
+        return {self.name(): self.close(found, total)}
+
+
+class quantiles(quantile):
+    """Several exact quantiles p of a column by one definition, each a column named as quantile would name it."""
+
+    stat = "quantiles"
+
+    def __init__(self, column: str, p: tuple[float, ...] = (0.25, 0.5, 0.75), weight: str | bool | None = None, defn: int = 5, **options: Any) -> None:
+        self.each = [quantile(column, q, weight, defn, **options) for q in p]
+        if not self.each:
+            raise ValueError("give at least one p")
+        super().__init__(column, p[0], weight, defn, **options)
+
+    def settled(self, ds: Dataset, default_weight: str | None) -> Measure:
+        out = super().settled(ds, default_weight)
+        out.each = [q.settled(ds, default_weight) for q in self.each]
+        return out
+
+    def name(self) -> str:
+        return "quantiles_" + "_".join(q.name() for q in self.each)
+
+    def targets(self, total: Column) -> list[tuple[Column, bool]]:
+        return [t for q in self.each for t in q.targets(total)]
+
+    def closed(self, found: list[Column], total: Column) -> dict[str, Column]:
+        out, i = {}, 0
+        for q in self.each:
+            n = len(q.targets(total))
+            out |= q.closed(found[i : i + n], total)
+            i += n
+        return out
+
+
 class _FixedQuantile(quantile):
     fixed = 0.5
 
@@ -421,47 +457,3 @@ def stat_methods() -> list[str]:
 
 def stat_method_help() -> dict[str, str]:
     return {n: (REGISTRY[n].__doc__ or "").strip() for n in stat_methods()}
-
-
-#: Signed logarithmic bins of the first step of rank_values: this many per factor of e.
-FINE = 64
-
-
-def rank_values(rows: DataFrame, keys: list[str], measures: list[quantile]) -> DataFrame:
-    """keys and one column per measure: exact quantiles, in one plan without collecting a key's values.
-
-    All measures have the same column and weight. Values are first counted into fine logarithmic bins
-    per key (combined map-side); the bins holding a wanted rank are found from the running totals; only
-    rows of these bins are counted value by value and ordered, per key and bin.
-    """
-    m = measures[0]
-    x, w = m.values()
-    a = F.abs("x")
-    code = F.signum("x") * F.when(a == float("inf"), 1e6).otherwise(F.floor(F.log1p(a) * FINE) + F.when(a > 0, 1).otherwise(0))
-    names = [f"__k{i}" for i in range(len(keys))]
-    base = rows.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], x.alias("x"), w.alias("w")).where("x is not null").withColumn("bin", code.cast("int"))
-    bins = base.groupBy(*names, "bin").agg(F.sum("w").alias("bw"))
-    whole = Window.partitionBy(*names)
-    run = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("bw").over(run)).withColumn("total", F.sum("bw").over(whole)).withColumn("before", F.col("upto") - F.col("bw"))
-    wanted = [t for one in measures for t in one.targets(F.col("total"))]
-    last = F.col("upto") == F.col("total")
-    hit = F.lit(False)
-    for t, strict in wanted:
-        t = F.least(t, F.col("total"))
-        here = (F.col("before") <= t) & (F.col("upto") > t) if strict else (F.col("before") < t) & (F.col("upto") >= t)
-        # A rank below the first value means the first, one beyond the last the last.
-        hit = hit | here | (last if strict else (F.col("before") <= 0) & (t <= 0))
-    chosen = bins.where(hit & (F.col("total") > 0)).select(*[F.col(n).alias(f"c{n}") for n in names], F.col("bin").alias("cbin"), "before", "total")
-    near = base.join(chosen, [F.col(n).eqNullSafe(F.col(f"c{n}")) for n in names] + [F.col("bin") == F.col("cbin")])
-    values = near.groupBy(*names, "bin", "before", "total", "x").agg(F.sum("w").alias("vw"))
-    within = Window.partitionBy(*names, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("upto", F.col("before") + F.sum("vw").over(within))
-    found = [F.coalesce(F.min(F.when((F.col("upto") > F.least(t, F.col("total"))) if strict else (F.col("upto") >= F.least(t, F.col("total"))), F.col("x"))), F.max("x")).alias(f"t{i}") for i, (t, strict) in enumerate(wanted)]
-    got = values.groupBy(*names).agg(F.max("total").alias("total"), *found)
-    out, i = [], 0
-    for one in measures:
-        n = len(one.targets(F.col("total")))
-        out.append(one.close([F.col(f"t{k}") for k in range(i, i + n)], F.col("total")).alias(one.name()))
-        i += n
-    return got.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *out)

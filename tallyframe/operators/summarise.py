@@ -17,7 +17,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.meta import ColumnMeta, Dataset, RoleError
-from tallyframe.operators.measures import Aggregates, Measure, quantile, rank_values
+from tallyframe.operators.measures import Aggregates, Measure, quantile
+from tallyframe.operators.quantiles import rank_values
 
 #: Distinct values up to which a Python callable on values may be evaluated on the driver.
 CALLABLE_VALUES = 10_000
@@ -164,6 +165,7 @@ def summ(
     marginal, by weighted counts if there is a default weight. A multi-valued column counts a row once per distinct
     element, and marginals over it count rows once.
 
+    Quantiles run jobs when summ is called, as many as it takes to narrow them down; all else is planned only.
     The result has _freq_, _level_, _type_, _condcols_, the condition columns and the measures, and is a
     Dataset weighted by _freq_. ordered=False leaves out the final sort.
     """
@@ -225,6 +227,15 @@ def summ(
             needed = [c for c in names if (c in key or c not in multis) and any(c in t for t in sets if tuple(x for x in multis if x in t) == key)]
             bases[key] = exploded(key).groupBy(*[F.col(f"__c_{c}") for c in needed]).agg(*a.first()), needed
 
+    # The quantiles of all groupings over the same multi-valued columns come from the same scans.
+    found: list[tuple[set[int], DataFrame, list[str]]] = []
+    for group in ranks.values():
+        for key in bases:
+            mine = [(i, [f"__c_{c}" for c in s]) for i, s in enumerate(sets) if tuple(c for c in multis if c in s) == key]
+            columns = list(dict.fromkeys(n for m in group for n in m.closed([F.lit(0.0)] * len(m.targets(F.lit(1.0))), F.lit(1.0))))
+            found.append(({i for i, _ in mine}, rank_values(exploded(key), mine, group), columns))
+    quantile_columns = list(dict.fromkeys(n for *_, columns in found for n in columns))
+
     domain_df = _unfiltered(ds, by_name, names) if zeros else None
     tables = []
     for i, s in enumerate(sets):
@@ -233,15 +244,15 @@ def summ(
         if len(s) > 1 or (s and zeros):
             cells = _dense(cells, domain_df if zeros else None, s)
         cells = cells.withColumn("_freq_", F.coalesce(count, F.lit(0)).cast("bigint"))
-        for group in ranks.values():
-            values = rank_values(exploded(tuple(c for c in multis if c in s)), [f"__c_{c}" for c in s], group)
-            found = values.select(*[F.col(f"__c_{c}").alias(f"__q_{c}") for c in s], *[m.name() for m in group])
-            cells = cells.join(found, [F.col(f"__c_{c}").eqNullSafe(F.col(f"__q_{c}")) for c in s] or F.lit(True), "left").drop(*[f"__q_{c}" for c in s])
+        for numbers, values, columns in found:
+            if i in numbers:
+                here = values.where(F.col("__set") == i).select(*[F.col(f"__c_{c}").alias(f"__q_{c}") for c in s], *[F.col(f"`{n}`") for n in columns])
+                cells = cells.join(here, [F.col(f"__c_{c}").eqNullSafe(F.col(f"__q_{c}")) for c in s] or F.lit(True), "left").drop(*[f"__q_{c}" for c in s])
         keys = [(F.col(f"__c_{c}") if c in s else F.lit(by_name[c].all_value).cast(by_name[c].kind)).alias(c) for c in names]
         tables.append(
             cells.select(
                 *keys, "_freq_", F.lit(len(s)).alias("_level_"), F.lit("".join("1" if c in s else "0" for c in names)).alias("_type_"), F.array(*[F.lit(c) for c in s]).cast("array<string>").alias("_condcols_"),
-                F.lit(i).alias("__set"), *[e.alias(k) for k, e in closing.items()], *[m.name() for g in ranks.values() for m in g], *([weighted.alias("__wfreq")] if weighted is not None else []),
+                F.lit(i).alias("__set"), *[e.alias(k) for k, e in closing.items()], *[F.col(f"`{n}`") for n in quantile_columns], *([weighted.alias("__wfreq")] if weighted is not None else []),
             )
         )
     result = functools.reduce(DataFrame.unionByName, tables)
@@ -262,9 +273,9 @@ def summ(
         result = result.where(~((F.substring("_type_", i + 1, 1) == "1") & c.hidden))
     if ordered:
         result = result.orderBy("__set", *[e for c in conditions for e in c.sort])
-    result = result.select(*names, "_freq_", "_level_", "_type_", "_condcols_", *[F.col(f"`{k}`") for k in [*closing, *[m.name() for g in ranks.values() for m in g], *shares]])
+    result = result.select(*names, "_freq_", "_level_", "_type_", "_condcols_", *[F.col(f"`{k}`") for k in [*closing, *quantile_columns, *shares]])
     columns = {c.name: c.meta for c in conditions} | {"_freq_": ColumnMeta("scalar", label="Frequency")}
-    columns |= {c: ColumnMeta("identity") for c in ("_level_", "_type_", "_condcols_")} | {k: ColumnMeta("scalar") for k in [*closing, *shares]}
+    columns |= {c: ColumnMeta("identity") for c in ("_level_", "_type_", "_condcols_")} | {k: ColumnMeta("scalar") for k in [*closing, *quantile_columns, *shares]}
     return Dataset(result, name or _result_name(ds.name, names), columns, "_freq_", label, summary=True)
 
 

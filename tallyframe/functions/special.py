@@ -198,14 +198,3 @@ def binomial_quantile(q, n, p):
         reach = binomial_cdf(mid, n, p) >= fuzz
         high, low = np.where(reach & (high - low > 1), mid, high), np.where(~reach & (high - low > 1), mid, low)
     return high
-
-
-def hypergeometric(row: int, other: int, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """Support and log probabilities of the corner cell of a 2x2 table with fixed margins.
-
-    row, other: the two row totals; column: the first column's total.
-    """
-    x = np.arange(max(0, column - other), min(row, column) + 1, dtype=float)
-    log = lambda n, k: lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
-    w = log(float(row), x) + log(float(other), column - x)
-    return x, w - w.max() - math.log(np.exp(w - w.max()).sum())

@@ -4,7 +4,8 @@ A stratum is a row with the counts a (exposed, diseased), b (unexposed, diseased
 diseased) and d (unexposed, not diseased). Closed measures are column expressions over such rows, null
 where undefined; adjusted ones are sums over the strata of a group, so everything up to there is one
 aggregation. Exact measures weigh the possible tables with fixed margins; they run vectorised on the few
-resulting rows, and not at all on counts so large that they add nothing.
+resulting rows. Only tables within 40 standard deviations of the likeliest have a weight that a double can
+hold, so the work grows with the root of the counts, and there is no count that is too large.
 """
 
 from __future__ import annotations
@@ -205,62 +206,126 @@ def _chi2_p_df(x: Column, df: Column) -> Column:
 
 
 # -- exact measures
+#: Standard deviations, and tables besides, on each side of the likeliest table: beyond, weights are 0 as doubles.
+REACH, BESIDES = 40, 400
+
+
+def noncentral(a: int, b: int, c: int, d: int, log_odds: float) -> tuple[int, np.ndarray]:
+    """The first corner cell and the weights, the greatest being 1, of the tables with these margins under an odds ratio.
+
+    Weights come from the ratios of neighbours, added up from the likeliest table outwards.
+    """
+    m, k, n = a + b, a + c, a + b + c + d
+    low, high = max(0, m + k - n), min(m, k)
+    step = lambda x: log_odds + np.log((m - x + 1.0) * (k - x + 1.0)) - np.log(x * (n - k - m + x + 0.0))
+    # The likeliest: the last table that is not below the one before it. Ratios fall.
+    at, end = low, high
+    while at < end:
+        mid = (at + end + 1) // 2
+        at, end = (mid, end) if step(mid) >= 0 else (at, mid - 1)
+    cells = (at + 1.0, m - at + 1.0, k - at + 1.0, n - m - k + at + 1.0)
+    width = int(REACH / math.sqrt(sum(1 / x for x in cells))) + BESIDES
+    first, last = max(low, at - width), min(high, at + width)
+    w = np.concatenate([[0.0], np.cumsum(step(np.arange(first + 1, last + 1, dtype=float)))])
+    return first, np.exp(w - w[at - first])
+
+
+def _convolved(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weights of sums. Very long ones go through Fourier transforms, which keep 15 digits of the greatest weight only."""
+    if len(x) * len(y) <= 4_000_000_000:
+        out = np.convolve(x, y)
+    else:
+        size = 1 << (len(x) + len(y) - 2).bit_length()
+        out = np.maximum(np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)[: len(x) + len(y) - 1], 0.0)
+    return out / out.max()
+
+
 class TableDistribution:
     """The distribution of the sum of corner cells of tables with fixed margins, for any odds ratio."""
 
     def __init__(self, tables: list[tuple[int, int, int, int]]) -> None:
-        x, w = np.array([0.0]), np.array([0.0])
-        for a, b, c, d in tables:
-            y, v = sp.hypergeometric(a + c, b + d, a + b)
-            # Convolution of the weights, scaled against underflow.
-            mixed = np.convolve(np.exp(w - w.max()), np.exp(v - v.max()))
-            x = np.arange(x[0] + y[0], x[-1] + y[-1] + 1)
-            with np.errstate(divide="ignore"):
-                w = np.log(mixed)
-        self.x, self.w = x, w
-        self.seen = float(sum(t[0] for t in tables))
-
-    def at(self, log_odds: float) -> np.ndarray:
-        v = self.w + self.x * log_odds
-        v = np.exp(v - v.max())
-        return v / v.sum()
+        self.tables = tables
+        self.seen = sum(t[0] for t in tables)
+        self.low = sum(max(0, a - d) for a, b, c, d in tables)
+        self.high = sum(min(a + b, a + c) for a, b, c, d in tables)
+        sums = [sum(t[i] for t in tables) + 0.5 for i in range(4)]
+        self.start = math.log(sums[0] * sums[3] / (sums[1] * sums[2]))
+        self.reach = 6 * math.sqrt(sum(1 / v for v in sums))
+        self._kept: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, log_odds: float) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the sum and their probabilities."""
+        if log_odds not in self._kept:
+            self._kept = {0.0: self._kept[0.0]} if 0.0 in self._kept else {}
+            first, w = 0, np.ones(1)
+            for t in self.tables:
+                x, v = noncentral(*t, log_odds)
+                first, w = first + x, _convolved(w, v)
+            self._kept[log_odds] = first + np.arange(len(w)), w / w.sum()
+        return self._kept[log_odds]
 
     def tails(self, log_odds: float = 0.0) -> tuple[float, float, float]:
         """P(X < seen), P(X = seen), P(X > seen)."""
-        p = self.at(log_odds)
-        return float(p[self.x < self.seen].sum()), float(p[self.x == self.seen].sum()), float(p[self.x > self.seen].sum())
+        x, p = self.at(log_odds)
+        i = min(max(self.seen - int(x[0]), 0), len(x))
+        here = float(p[i]) if i < len(x) and x[i] == self.seen else 0.0
+        after = i + 1 if here or (i < len(x) and x[i] == self.seen) else i
+        return float(p[:i].sum()), here, float(p[after:].sum())
+
+    def mean(self, log_odds: float) -> float:
+        x, p = self.at(log_odds)
+        return float(x[0]) + float((p * np.arange(len(p))).sum())
 
     def solve(self, rising: Callable[[float], float]) -> float:
-        """The odds ratio at which a function of its logarithm, rising in it, is zero."""
-        low, high = -50.0, 50.0
-        for _ in range(120):
-            mid = (low + high) / 2
-            low, high = (mid, high) if rising(mid) < 0 else (low, mid)
+        """The odds ratio at which a function of its logarithm, rising in it, is zero.
+
+        From a bracket around the crude odds ratio, by false position with halved ends, bisecting where that is slow.
+        """
+        low, high, wide = self.start - self.reach, self.start + self.reach, self.reach
+        while (f_low := rising(low)) > 0 and low > -700:
+            low, wide = low - wide, wide * 2
+        while (f_high := rising(high)) < 0 and high < 700:
+            high, wide = high + wide, wide * 2
+        side = 0
+        for k in range(200):
+            if high - low <= 1e-14 * max(1.0, abs(low), abs(high)):
+                break
+            mid = (low * f_high - high * f_low) / (f_high - f_low) if f_high > f_low else (low + high) / 2
+            if k % 4 == 3 or not low < mid < high:
+                mid = (low + high) / 2
+            f = rising(mid)
+            if f == 0:
+                return math.exp(mid)
+            if f < 0:
+                low, f_low, f_high, side = mid, f, f_high / (2 if side == -1 else 1), -1
+            else:
+                high, f_high, f_low, side = mid, f, f_low / (2 if side == 1 else 1), 1
         return math.exp((low + high) / 2)
 
     def estimate(self) -> float:
         """The conditional maximum likelihood odds ratio: the expected equals the observed sum."""
-        if self.seen <= self.x[0]:
+        if self.seen <= self.low:
             return 0.0
-        return math.inf if self.seen >= self.x[-1] else self.solve(lambda t: float((self.at(t) * self.x).sum()) - self.seen)
+        return math.inf if self.seen >= self.high else self.solve(lambda t: self.mean(t) - self.seen)
 
     def limits(self, conflev: float) -> tuple[float, float]:
         a2 = alpha_of(conflev) / 2
-        low = 0.0 if self.seen <= self.x[0] else self.solve(lambda t: sum(self.tails(t)[1:]) - a2)
-        return low, math.inf if self.seen >= self.x[-1] else self.solve(lambda t: a2 - sum(self.tails(t)[:2]))
+        low = 0.0 if self.seen <= self.low else self.solve(lambda t: sum(self.tails(t)[1:]) - a2)
+        return low, math.inf if self.seen >= self.high else self.solve(lambda t: a2 - sum(self.tails(t)[:2]))
 
     def mid_p(self, conflev: float) -> tuple[float, float, float]:
         """Median unbiased odds ratio and limits: half of the observed table's probability counts."""
-        if self.x[0] == self.x[-1]:
+        if self.low == self.high:
             return math.nan, math.nan, math.nan
         a2 = alpha_of(conflev) / 2
         at = lambda q: self.solve(lambda t: q - (self.tails(t)[0] + self.tails(t)[1] / 2))
-        return at(0.5), (0.0 if self.seen <= self.x[0] else at(1 - a2)), (math.inf if self.seen >= self.x[-1] else at(a2))
+        return at(0.5), (0.0 if self.seen <= self.low else at(1 - a2)), (math.inf if self.seen >= self.high else at(a2))
 
     def p_values(self) -> dict[str, float]:
-        p = self.at(0.0)
+        _, p = self.at(0.0)
         below, here, above = self.tails()
-        one = below + here if self.estimate() <= 1 else here + above
+        # The estimate is at most 1 where no more is seen than expected.
+        one = below + here if self.seen <= self.mean(0.0) else here + above
         mid = min(below + here / 2, above + here / 2)
         return {
             "exact_p_onesided": min(1.0, one), "exact_p_twice_onesided": 2 * one, "exact_p_as_extreme": float(min(1.0, p[p <= here * (1 + 1e-7)].sum())),
@@ -268,18 +333,18 @@ class TableDistribution:
         }
 
 
+KHAN = ("khan_p_onesided", "khan_p_twosided")
 EXACT = ("exact_p_onesided", "exact_p_twice_onesided", "exact_p_as_extreme", "mid_p_onesided", "mid_p_twosided", "cmle_or", "cmle_or_lower", "cmle_or_upper", "midp_or", "midp_or_lower", "midp_or_upper")
 
 
-def exact_values(tables: list[tuple[int, int, int, int]], conflev: float = 0.95, large: bool = False) -> dict[str, float]:
-    """The exact measures of one table or of several strata; nan for tables too large to need them.
+def exact_values(tables: list[tuple[int, int, int, int]], conflev: float = 0.95, largest: int | None = None) -> dict[str, float]:
+    """The exact measures of one table or of several strata; nan for missing and negative counts.
 
-    Too large: a cell of 1000 or more (10000 with a cell below 50); of strata, 10000 (20000) in the crude table.
+    largest: a cell of their sum above which they are not worked out (nan); None for no limit.
     """
     sums = [sum(t[i] for t in tables) for i in range(4)]
-    low, high = (10_000, 20_000) if len(tables) > 1 or large else (1000, 10_000)
     nothing = dict.fromkeys(EXACT, math.nan)
-    if not tables or any(v is None or v < 0 or v != v for t in tables for v in t) or not (max(sums) < low or (max(sums) < high and min(sums) < 50)):
+    if not tables or any(v is None or v < 0 or v != v for t in tables for v in t) or (largest is not None and max(sums) > largest):
         return nothing
     dist = TableDistribution([tuple(int(v) for v in t) for t in tables])
     out = nothing | dist.p_values()
@@ -289,20 +354,20 @@ def exact_values(tables: list[tuple[int, int, int, int]], conflev: float = 0.95,
     return out
 
 
-def stratum_exact(strata: DataFrame, conflev: float = 0.95) -> DataFrame:
-    """strata with the exact measures of each row (E29, E30)."""
+def stratum_exact(strata: DataFrame, conflev: float = 0.95, largest: int | None = None) -> DataFrame:
+    """strata with the exact measures of each row (E29, E30), and Khan's p values (E31)."""
 
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for a, b, c, d in parts:
-            rows = [exact_values([t], conflev) for t in zip(a, b, c, d)]
-            yield pd.DataFrame(rows, columns=list(EXACT)).astype(float)
+            rows = [exact_values([t], conflev, largest) | dict(zip(KHAN, _khan_or_nan(*t))) for t in zip(a, b, c, d)]
+            yield pd.DataFrame(rows, columns=[*EXACT, *KHAN]).astype(float)
 
-    udf = F.pandas_udf(run, ", ".join(f"{n} double" for n in EXACT))
+    udf = F.pandas_udf(run, ", ".join(f"{n} double" for n in (*EXACT, *KHAN)))
     out = strata.withColumn("__exact", udf(*[F.col(x).cast("double") for x in "abcd"]))
-    return out.withColumns({n: F.nanvl(F.col(f"__exact.{n}"), F.lit(None).cast("double")) for n in EXACT}).drop("__exact")
+    return out.withColumns({n: F.nanvl(F.col(f"__exact.{n}"), F.lit(None).cast("double")) for n in (*EXACT, *KHAN)}).drop("__exact")
 
 
-def adjusted_exact(strata: DataFrame, by: list[str] | None = None, conflev: float = 0.95) -> DataFrame:
+def adjusted_exact(strata: DataFrame, by: list[str] | None = None, conflev: float = 0.95, largest: int | None = None) -> DataFrame:
     """Exact common odds ratio and p values over the strata of each group (E38). Groups hold one row per stratum."""
     by = by or []
     keys = ", ".join(f"`{k}` {dict(strata.dtypes)[k]}" for k in by)
@@ -310,7 +375,7 @@ def adjusted_exact(strata: DataFrame, by: list[str] | None = None, conflev: floa
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = [tuple(r) for r in frame[list("abcd")].astype(float).itertuples(index=False)]
-        out = exact_values(rows, conflev, large=True)
+        out = exact_values(rows, conflev, largest)
         return pd.DataFrame([{k: frame[k].iloc[0] for k in by} | out])
 
     picked = strata.select(*[F.col(f"`{k}`") for k in by], *[F.col(x).cast("double").alias(x) for x in "abcd"])
@@ -325,19 +390,19 @@ def khan_p(a: int, b: int, c: int, d: int) -> tuple[float, float]:
 
     The walk ends at a table of probability below one in a million.
     """
-    cells = [a, b, c, d]
-    at = cells.index(min(cells))
-    rows, cols = (a + b, c + d), (a + c, b + d)
-    r, k = rows[at // 2], cols[at % 2]
-    x, w = sp.hypergeometric(r, sum(rows) - r, k)
-    total = 0.0
-    for p in np.exp(w)[x <= min(cells)][::-1]:
-        if p < 1e-6:
-            break
-        total += float(p)
+    # Turned so that the least cell is the corner; the margins stay paired.
+    a, b, c, d = min(((a, b, c, d), (b, a, d, c), (c, d, a, b), (d, c, b, a)), key=lambda t: t[0])
+    first, w = noncentral(a, b, c, d, 0.0)
+    p = (w / w.sum())[: max(a - first + 1, 0)][::-1]
+    small = np.flatnonzero(p < 1e-6)
+    total = float(p[: small[0] if len(small) else len(p)].sum())
     return total, min(2 * total, math.nextafter(1.0, 0.0))
 
 
+def _khan_or_nan(*t: float) -> tuple[float, float]:
+    return (math.nan, math.nan) if any(v is None or v != v or v < 0 for v in t) else khan_p(*(int(v) for v in t))
+
+
 def report(rows: list[dict], adjusted: dict | None = None, digits: int = 5) -> str:
     """The measures of strata and their adjusted values as text, section by section."""
     number = lambda v: "-" if v is None or v != v else f"{v:.{digits}f}"

@@ -1,5 +1,8 @@
 """Published rates and 2x2 measures."""
 
+import math
+
+import numpy as np
 import pytest
 
 from tallyframe.meta import ColumnMeta, Dataset
@@ -131,3 +134,64 @@ def test_indirect_leaves_out_only_what_it_counts_by(spark, sf, name):
     regions = {r["region"] for r in pop.select("region").distinct().collect()}
     if regions == {r["region"] for r in rows}:
         assert sum(r["expected"] for r in rows) == pytest.approx(sum(r["count"] for r in cells.collect()))
+
+
+def _brute(table, log_odds):
+    """All tables with the margins, by logarithms of factorials."""
+    a, b, c, d = table
+    m, k, n = a + b, a + c, a + b + c + d
+    x = np.arange(max(0, m + k - n), min(m, k) + 1)
+    lg = np.vectorize(math.lgamma)
+    w = -(lg(x + 1.0) + lg(m - x + 1.0) + lg(k - x + 1.0) + lg(n - m - k + x + 1.0)) + x * log_odds
+    w = np.exp(w - w.max())
+    return x, w / w.sum()
+
+
+@pytest.mark.parametrize("table", [(3, 1, 2, 4), (0, 5, 7, 2), (1200, 800, 700, 600), (100_000, 99_500, 70_000, 70_600), (150_000, 3, 40, 90_000)])
+def test_exact_measures_of_any_count(table):
+    got = twobytwo.exact_values([table])
+    x, p = _brute(table, 0.0)
+    a = table[0]
+    one = min(p[x <= a].sum(), p[x >= a].sum()) if (p * x).sum() != a else None
+    assert got["exact_p_onesided"] == pytest.approx(p[x <= a].sum() if a <= (p * x).sum() else p[x >= a].sum(), rel=1e-5, abs=1e-290)
+    assert got["mid_p_onesided"] == pytest.approx(min(p[x < a].sum(), p[x > a].sum()) + p[x == a].sum() / 2, rel=1e-5, abs=1e-290) and one is not None
+    # The estimate and limits satisfy their equations.
+    for name, equation in {
+        "cmle_or": lambda x, p: (p * x).sum() / a - 1, "cmle_or_lower": lambda x, p: p[x >= a].sum() / 0.025 - 1, "cmle_or_upper": lambda x, p: p[x <= a].sum() / 0.025 - 1,
+        "midp_or": lambda x, p: (p[x < a].sum() + p[x == a].sum() / 2) / 0.5 - 1, "midp_or_lower": lambda x, p: (p[x > a].sum() + p[x == a].sum() / 2) / 0.025 - 1, "midp_or_upper": lambda x, p: (p[x < a].sum() + p[x == a].sum() / 2) / 0.025 - 1,
+    }.items():
+        if 0 < got[name] < math.inf:
+            assert equation(*_brute(table, math.log(got[name]))) == pytest.approx(0, abs=2e-5)
+        else:
+            assert name != "cmle_or" or a == x[0]
+
+
+def test_exact_common_odds_ratio_of_large_strata():
+    tables = [(5200, 4800, 4900, 5100), (900, 700, 800, 1000), (30, 2, 1, 4)]
+    got = twobytwo.exact_values(tables)
+    seen = sum(t[0] for t in tables)
+
+    def spread(log_odds):
+        w = np.ones(1)
+        first = 0
+        for t in tables:
+            x, p = _brute(t, log_odds)
+            first, w = first + x[0], np.convolve(w, p)
+        return first + np.arange(len(w)), w
+
+    x, p = spread(math.log(got["cmle_or"]))
+    assert (p * x).sum() == pytest.approx(seen, rel=1e-8)
+    x, p = spread(math.log(got["cmle_or_lower"]))
+    assert p[x >= seen].sum() == pytest.approx(0.025, rel=1e-5)
+    x, p = spread(0.0)
+    assert got["exact_p_onesided"] == pytest.approx(p[x >= seen].sum(), rel=1e-5)
+    assert math.isnan(twobytwo.exact_values(tables, largest=1000)["cmle_or"])
+
+
+def test_exact_measures_of_very_large_counts():
+    import time
+
+    began = time.perf_counter()
+    got = twobytwo.exact_values([(300_000_000, 299_990_000, 200_000_000, 200_050_000)])
+    assert got["cmle_or_lower"] < got["cmle_or"] < got["cmle_or_upper"] and got["cmle_or"] == pytest.approx(300_000_000 * 200_050_000 / 299_990_000 / 200_000_000, rel=1e-7)
+    assert time.perf_counter() - began < 60

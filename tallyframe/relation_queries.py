@@ -203,12 +203,16 @@ add("rate_stratified_limits", lambda s, d: _rounded(rates.stratified_rates(_deat
 
 
 def _indirect(spark, d, conflev, *known):
+    return _rounded(_indirect_df(spark, d, conflev, *known))
+
+
+def _indirect_df(spark, d, conflev, *known):
     """Deaths without what they are counted by, or without another column that must be known, are left out."""
     base = table(spark, d, "syndeath")
     count = lambda *k: base.where(" and ".join(f"{c} is not null" for c in (*k, *known))).groupBy(*k).agg(F.count(F.lit(1)).alias("_freq_"))
     events = Dataset.of(count("region"), "events", region=CAT, _freq_=NUM)
     std = Dataset.of(count("agegrp", "sex"), "stdevents", agegrp=CAT, sex=CAT, _freq_=NUM)
-    return _rounded(rates.indirect_ratios(events, _population(spark, d), std, _population(spark, d), conflev).df)
+    return rates.indirect_ratios(events, _population(spark, d), std, _population(spark, d), conflev).df
 
 
 add(

@@ -4,10 +4,10 @@ import pytest
 from compare import connect, same_rows
 
 import __spark_entry__ as entry
-from tallyframe import data_queries, relation_queries, summary_queries
+from tallyframe import data_queries, limit_queries, relation_queries, summary_queries
 
-CORE = {k: f for part in (summary_queries, relation_queries, data_queries) for k, f in part.QUERIES.items()}
-SQL = {k: s for part in (summary_queries, relation_queries, data_queries) for k, s in part.ORACLES.items()}
+CORE = {k: f for part in (summary_queries, relation_queries, limit_queries, data_queries) for k, f in part.QUERIES.items()}
+SQL = {k: s for part in (summary_queries, relation_queries, limit_queries, data_queries) for k, s in part.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.operators.keyed_stats import heavy_keys, keyed_stats
 from tallyframe.operators.parse_rows import rejected_rows, typed_rows
-from tallyframe.operators.profile import NHDS_RULES, ColumnRule, ProfileSpec, issues, profile
+from tallyframe.operators.profile import DIGIT, LOWER, NHDS_RULES, UPPER, ColumnRule, ProfileSpec, issues, mask_issues, mask_profile, mined_masks, profile
 from tallyframe.plans.scale import table
 
 SPEC = ProfileSpec("load_id", NHDS_RULES)
@@ -41,22 +41,48 @@ def p4_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = issues(profile(table(spark, d, "nhds"), SPEC), SPEC)
+    found = issues(mask_profile(table(spark, d, "nhds"), SPEC), SPEC)
     return found.select(F.col("load").alias("load_id"), "column_name", "issue")
 
 
-def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of nhds."""
-    nhds = table(spark, d, "nhds")
+def _every_column(nhds: DataFrame) -> ProfileSpec:
     known = {r.name: r for r in NHDS_RULES}
-    spec = ProfileSpec("load_id", tuple(known.get(c, ColumnRule(c)) for c in nhds.columns))
-    return profile(nhds, spec).select(
+    return ProfileSpec("load_id", tuple(known.get(c, ColumnRule(c)) for c in nhds.columns))
+
+
+def _shown(profiled: DataFrame) -> DataFrame:
+    return profiled.select(
         F.col("load").alias("load_id"), "column_name", "n_rows", "n_null", "n_distinct", "min_value", "max_value", "min_text", "max_text", "n_out_of_range", "n_contradicting",
         "dominant_mask", "n_masks", "n_rare_mask", F.round("shift", 9).alias("shift"), F.round("mask_shift", 9).alias("mask_shift"),
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_rows": p3_rows, "p4_found": p4_found, "p4_stats": p4_stats, "p6_found": p6_found, "p6_profile": p6_profile}
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of nhds; distinct values by sketch (standard error 1.6 %)."""
+    nhds = table(spark, d, "nhds")
+    return _shown(profile(nhds, _every_column(nhds)))
+
+
+EXACT = ProfileSpec("load_id", (*NHDS_RULES, ColumnRule("diagnosis1"), ColumnRule("sex")), distinct="exact")
+
+
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of codes and of the rules; distinct values counted."""
+    return _shown(profile(table(spark, d, "nhds"), EXACT))
+
+
+def p6_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Every mask of every column in every load, with the rare ones marked."""
+    nhds = table(spark, d, "nhds")
+    return mined_masks(nhds, _every_column(nhds)).select(F.col("load").alias("load_id"), "column_name", "mask", "n", "role")
+
+
+def p6_mask_issues(spark: SparkSession, d: str) -> DataFrame:
+    """What masks alone say of the columns of codes and of the rules."""
+    return mask_issues(mask_profile(table(spark, d, "nhds"), EXACT), EXACT).select(F.col("load").alias("load_id"), "column_name", "issue")
+
+
+QUERIES = {"p3_found": p3_found, "p3_rows": p3_rows, "p4_found": p4_found, "p4_stats": p4_stats, "p6_found": p6_found, "p6_profile": p6_profile, "p6_exact": p6_exact, "p6_masks": p6_masks, "p6_mask_issues": p6_mask_issues}
 
 _P3_PARSED = r"""
 WITH recs AS (SELECT line_id, raw_line AS t FROM aus01stdpop_mf_raw
@@ -86,7 +112,35 @@ def _def5(p: float) -> str:
     return f"CASE WHEN n > 0 THEN {at(lo)} / 2 + {at(hi)} / 2 END"
 
 
+_MASK = f"translate(t, '{UPPER}{LOWER}{DIGIT}', '{'A' * 26}{'a' * 26}{'9' * 10}')"
+_CLASSES = """
+WITH cls AS (
+  SELECT load_id, 'age' AS column_name, CAST(age AS VARCHAR) AS t, CAST(age AS DOUBLE) AS v, age BETWEEN 0 AND 120 AS ok, CAST(least(floor(age / 5) + 1, 18) AS INT) AS c, FALSE AS bad FROM nhds
+  UNION ALL SELECT load_id, 'days_of_care', CAST(days_of_care AS VARCHAR), days_of_care, days_of_care BETWEEN 1 AND 999,
+    CASE WHEN days_of_care <= 4 THEN days_of_care WHEN days_of_care < 8 THEN 5 WHEN days_of_care < 15 THEN 8 WHEN days_of_care < 30 THEN 15 ELSE 30 END, FALSE FROM nhds
+  UNION ALL SELECT load_id, 'agegrp', CAST(agegrp AS VARCHAR), agegrp, agegrp BETWEEN 1 AND 18, agegrp,
+    coalesce(agegrp BETWEEN 1 AND 18 AND age BETWEEN 0 AND 120 AND agegrp <> least(floor(age / 5) + 1, 18), FALSE) FROM nhds
+  UNION ALL SELECT load_id, 'diagnosis1', diagnosis1, TRY_CAST(diagnosis1 AS DOUBLE), NULL, NULL, FALSE FROM nhds
+  UNION ALL SELECT load_id, 'sex', CAST(sex AS VARCHAR), sex, NULL, NULL, FALSE FROM nhds),
+"""
+_MASKED = _CLASSES + f"""
+m AS (SELECT load_id, column_name, {_MASK} AS mask, count(*) AS n FROM cls WHERE t IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY load_id, column_name) AS share FROM m),
+mined AS (SELECT load_id, column_name, max({{'n': n, 'm': mask}}).m AS dominant_mask, count(*) AS n_masks, CAST(sum(CASE WHEN share < 0.005 THEN n ELSE 0 END) AS BIGINT) AS n_rare_mask FROM s GROUP BY ALL),
+tot AS (SELECT load_id, column_name, count(*) AS n_rows, count(*) - count(t) AS n_null, count(DISTINCT t) AS n_distinct, min(v) AS min_value, max(v) AS max_value,
+  CASE WHEN column_name = 'diagnosis1' THEN min(t) END AS min_text, CASE WHEN column_name = 'diagnosis1' THEN max(t) END AS max_text, coalesce(count_if(NOT ok), 0) AS n_out_of_range, coalesce(count_if(bad), 0) AS n_contradicting FROM cls GROUP BY load_id, column_name),
+prev AS (SELECT load_id, column_name, lag(load_id) OVER (PARTITION BY column_name ORDER BY load_id) AS b FROM tot),
+sh AS (SELECT load_id, column_name, c, count(*) / sum(count(*)) OVER (PARTITION BY load_id, column_name) AS p FROM cls WHERE ok GROUP BY load_id, column_name, c),
+mv AS (SELECT load_id, column_name, sum(abs(d)) / 2 AS shift FROM (SELECT load_id, column_name, c, sum(p) AS d FROM (SELECT load_id, column_name, c, p FROM sh UNION ALL SELECT prev.load_id, column_name, c, -p FROM prev JOIN sh USING (column_name) WHERE sh.load_id = prev.b) GROUP BY ALL) GROUP BY ALL),
+mm AS (SELECT load_id, column_name, sum(abs(d)) / 2 AS mask_shift FROM (SELECT load_id, column_name, mask, sum(share) AS d FROM (SELECT load_id, column_name, mask, share FROM s UNION ALL SELECT prev.load_id, column_name, mask, -share FROM prev JOIN s USING (column_name) WHERE s.load_id = prev.b) GROUP BY ALL) GROUP BY ALL)
+"""
+_PROFILED = "FROM tot LEFT JOIN prev USING (load_id, column_name) LEFT JOIN mined USING (load_id, column_name) LEFT JOIN mv USING (load_id, column_name) LEFT JOIN mm USING (load_id, column_name)"
+
 ORACLES = {
+    "p6_exact": _MASKED + f"""SELECT load_id, column_name, n_rows, n_null, n_distinct, min_value, max_value, min_text, max_text, n_out_of_range, n_contradicting, dominant_mask, coalesce(n_masks, 0) AS n_masks,
+  coalesce(n_rare_mask, 0) AS n_rare_mask, CASE WHEN b IS NOT NULL THEN round(shift, 9) END AS shift, CASE WHEN b IS NOT NULL THEN round(mask_shift, 9) END AS mask_shift {_PROFILED}""",
+    "p6_mask_issues": _MASKED + f"""SELECT load_id, column_name, 'rare_masks' AS issue {_PROFILED} WHERE n_rare_mask * 100 > n_rows - n_null
+UNION ALL SELECT load_id, column_name, 'mask_shift' {_PROFILED} WHERE b IS NOT NULL AND mask_shift > 0.2""",
     "p3_found": _P3_PARSED + "SELECT line_id, reason FROM marked WHERE reason IS NOT NULL",
     "p3_rows": _P3_PARSED + "SELECT line_id, CAST(v[1] AS BIGINT) AS agegrp, CAST(v[2] AS BIGINT) AS sex, CAST(v[3] AS BIGINT) AS pop FROM marked WHERE reason IS NULL",
     "p4_found": _P4_KEYS + "SELECT diagnosis1, sex FROM k WHERE diagnosis1 IS NOT NULL AND sex IS NOT NULL GROUP BY ALL HAVING count(*) * 100 > (SELECT count(*) FROM nhds)",

@@ -57,32 +57,35 @@ def classify(df: DataFrame, raw: str, fields: tuple[IntField, ...]) -> DataFrame
     in_range = F.lit(True)
     for f in fields:
         in_range = in_range & F.col(f"__read.{f.name}").between(f.low, f.high)
-    clean = F.coalesce(F.col("__read.__corrupt").isNull() & text.rlike(strict) & in_range, F.lit(False))
-
+    # Columns, not expressions: what is used more than once is worked out once. Clean records have no pieces and no parts.
+    out = out.withColumn("__clean", F.coalesce(F.col("__read.__corrupt").isNull() & text.rlike(strict) & in_range, F.lit(False)))
+    clean, pieces = F.col("__clean"), F.col("__pieces")
+    out = out.withColumn("__pieces", F.when(~clean, F.split(text, '"', -1)))
     # The first and last piece are taken out, so that no lambda over the others depends on their number:
     # it would be worked out again for each of them.
-    pieces = F.split(text, '"', -1)
-    first, end = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
-    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    out = out.withColumns({"__first": F.get(pieces, F.lit(0)), "__end": F.element_at(pieces, -1), "__inner": F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))})
+    inner = F.col("__inner")
     outside_ok = F.forall(F.transform(inner, lambda s, i: (i % 2 == 0) | (s == "") | s.rlike(rf"(?s)^{WS}*,(?:.*,)?{WS}*\z")), lambda ok: ok)
-    ends_ok = (F.size(pieces) == 1) | (first.rlike(rf"(?s)^(?:.*,)?{WS}*\z") & end.rlike(rf"(?s)^{WS}*(?:,.*)?\z"))
+    ends_ok = (F.size(pieces) == 1) | (F.col("__first").rlike(rf"(?s)^(?:.*,)?{WS}*\z") & F.col("__end").rlike(rf"(?s)^{WS}*(?:,.*)?\z"))
     quoting = (F.size(pieces) % 2 == 0) | ~outside_ok | ~ends_ok
     # Inside quotes a comma or a doubled quote can be no part of a number: both become a letter.
     flat_inner = F.transform(inner, lambda s, i: F.when(i % 2 == 0, F.translate(s, ",", "x")).when(s == "", "x").otherwise(s))
-    flat = F.when(F.size(pieces) == 1, text).otherwise(F.concat(first, F.array_join(flat_inner, ""), end))
-    out = out.withColumn("__parts", F.when(~clean, F.split(flat, ",", -1)))
-    out = out.withColumn("__whole", F.transform("__parts", _whole))
+    flat = F.when(F.size(pieces) == 1, text).otherwise(F.concat("__first", F.array_join(flat_inner, ""), "__end"))
+    out = out.withColumns({"__quoting": F.when(~clean, quoting), "__parts": F.when(~clean, F.split(flat, ",", -1))})
+    # More fields than there are columns are counted, not read.
+    out = out.withColumn("__whole", F.when(F.size("__parts") == len(fields), F.transform("__parts", _whole)))
     reason = (
         F.when(clean, F.lit(None).cast("string"))
         .when(text.isNull() | text.rlike(rf"^{WS}*\z"), "blank")
-        .when(quoting, "quoting")
+        .when(F.col("__quoting"), "quoting")
         .when(F.size("__parts") != len(fields), "column_count")
     )
     for i, f in enumerate(fields):
         v = F.get("__whole", F.lit(i))
         reason = reason.when(~F.coalesce(v.between(f.low, f.high), F.lit(False)), f.name)
     values = F.struct(*[F.when(clean, F.col(f"__read.{f.name}")).otherwise(F.get("__whole", F.lit(i))).alias(f.name) for i, f in enumerate(fields)])
-    return out.withColumn("reason", reason).withColumn("values", values).drop("__read", "__parts", "__whole")
+    out = out.withColumn("reason", reason).withColumn("values", values)
+    return out.drop("__read", "__clean", "__pieces", "__first", "__end", "__inner", "__quoting", "__parts", "__whole")
 
 
 def records(raw: DataFrame) -> DataFrame:

@@ -73,21 +73,26 @@ def _fleiss(x, n, conflev, o):
 
 
 def _geigy(x, n, conflev, o):
-    """Geigy Scientific Tables, vol. 2: each limit is a root of a quadratic."""
-    a2 = alpha_of(conflev) / 2
-    z2 = sp.probit(1 - a2) ** 2
-    lead = z2 * z2 / 18 + (n * 2 + 1) * (z2 / 6) + (n + 1 / 3) * (n + 1 / 3)
-
-    def root(r, s):
-        # s shifts between the observed count (lower) and the next one (upper).
-        linear = z2 * z2 / 18 + ((n - r) * 4 + 3) * (z2 / 6) + (r * (n * 3 + 1) - n) * (2 / 3) - 2 / 9
-        constant = z2 * z2 / 18 + (r - 1 / 3) * (r - 1 / 3) - (r * 2 - 1) * (z2 / 6)
-        half = linear / (lead * 2)
-        return half + o.sqrt(o.high(half * half - constant / lead, 0.0)) * s
-
-    none, every = 1 - o.exp(math.log(a2) / n), o.exp(math.log(a2) / n)
-    low = o.pick(x == 0, 0.0, o.pick(x == n, every, root(x, -1)))
-    return low, o.pick(x == n, 1.0, o.pick(x == 0, none, root(x + 1, 1)))
+    """Fixed formula of the Geigy Scientific Tables, vol. 2: a limit is a root p of square p^2 - linear p + constant = 0.
+
+    The lower limit is the smaller root at r = x, the upper the greater one at r = x + 1. With u the normal value,
+    square = u^4 / 18 + u^2 (2 n + 1) / 6 + (n + 1/3)^2,
+    linear = u^4 / 18 + u^2 (4 (n - r) + 3) / 6 + 2 (r (3 n + 1) - n) / 3 - 2/9 and
+    constant = u^4 / 18 - u^2 (2 r - 1) / 6 + (r - 1/3)^2. None of n and all of n have limits of their own.
+    """
+    tail = alpha_of(conflev) / 2
+    u2 = sp.probit(1 - tail) ** 2
+    square = u2 * u2 / 18 + u2 * (n * 2 + 1) / 6 + (n + 1 / 3) ** 2
+
+    def roots(r):
+        linear = u2 * u2 / 18 + u2 * ((n - r) * 4 + 3) / 6 + (r * (n * 3 + 1) - n) * 2 / 3 - 2 / 9
+        constant = u2 * u2 / 18 - u2 * (r * 2 - 1) / 6 + (r - 1 / 3) ** 2
+        spread = o.sqrt(o.high(linear**2 - square * constant * 4, 0.0))
+        return (linear - spread) / (square * 2), (linear + spread) / (square * 2)
+
+    all_but = o.exp(math.log(tail) / n)
+    low = o.pick(x == 0, 0.0, o.pick(x == n, all_but, roots(x)[0]))
+    return low, o.pick(x == n, 1.0, o.pick(x == 0, 1 - all_but, roots(x + 1)[1]))
 
 
 def _exact(x, n, conflev, o):

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-_VOWELS = "aeiou"
+#: English plurals: the first pattern that is found in a word says what its end becomes.
+PLURALS = (
+    (re.compile(r"^.{0,2}$"), lambda w: w + "s"),
+    (re.compile(r"is$"), lambda w: re.sub("is$", "es", w)),
+    (re.compile(r"(s|x|z|sh|ch)$"), lambda w: w + "es"),
+    (re.compile(r"[^aeiou]y$"), lambda w: re.sub("y$", "ies", w)),
+    (re.compile(r""), lambda w: w + "s"),
+)
 
 
 def pluralise(text: str) -> str:
-    """The English plural of a label."""
-    if len(text) <= 2:
-        return text + "s"
-    if text.endswith("is"):
-        return text[:-2] + "es"
-    if text.endswith(("ch", "sh", "s", "z", "x")):
-        return text + "es"
-    return text[:-1] + "ies" if text[-1] == "y" and text[-2] not in _VOWELS else text + "s"
+    """The regular English plural of a label, by its last word's ending."""
+    return next(ending(text) for pattern, ending in PLURALS if pattern.search(text))
 
 
 def cross(*lists: Iterable[Any]) -> list[tuple]:

@@ -188,3 +188,10 @@ def test_filters_reach_the_scan(spark, sf):
     ds = Dataset.of(spark.read.parquet(f"{sf}/nhds.parquet"), "nhds", sex=CAT, age=NUM)
     plan = ds.filter("not sex = 1 and age >= 65").df.select("row_ordinal")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(age,65" in plan and "Not(EqualTo(sex,1))" in plan and "ReadSchema: struct<row_ordinal:bigint,sex:int,age:double>" in plan
+
+
+def test_plurals():
+    from tallyframe.functions.labels import pluralise
+
+    for one, many in {"bus": "buses", "trip": "trips", "city": "cities", "day": "days", "axis": "axes", "box": "boxes", "branch": "branches", "wish": "wishes", "ox": "oxs", "": "s"}.items():
+        assert pluralise(one) == many

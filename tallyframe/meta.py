@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 DISCRETE, SCALAR = ("categorical", "ordinal"), ("scalar", "weighting")
@@ -22,6 +23,19 @@ class RoleError(ValueError):
     """A column is used in a way its role does not allow."""
 
 
+def _labelled(label: Callable[[Any], str], c: Column, whole: bool) -> Column:
+    """label(value) of a column, called once for each distinct value of a batch."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in parts:
+            codes, values = pd.factorize(v, use_na_sentinel=False)
+            # Whole numbers with nulls among them arrive as doubles.
+            texts = [label(None if pd.isna(x) else int(x) if whole else x.item() if hasattr(x, "item") else x) for x in values]
+            yield pd.Series([None if t is None else str(t) for t in texts], dtype=object).take(codes).reset_index(drop=True)
+
+    return F.pandas_udf(run, "string")(c)
+
+
 @dataclass(frozen=True)
 class ColumnMeta:
     """What a dataset knows about a column.
@@ -162,7 +176,7 @@ class Dataset:
                 if None in m.labels:
                     shown = F.coalesce(shown, F.lit(str(m.labels[None])))
             elif callable(m.labels):
-                shown = F.udf(m.labels, "string")(c)
+                shown = _labelled(m.labels, c, isinstance(self.kind(n), T.IntegralType))
             if self.summary and (a := self.all_value(n)) is not None and m.role in DISCRETE and not isinstance(self.kind(n), T.ArrayType):
                 shown = F.when(c == F.lit(a), F.lit(m.all_label)).otherwise(shown.cast("string"))
             out.append(shown.alias(n))

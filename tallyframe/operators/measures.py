@@ -64,6 +64,9 @@ class Measure:
     stat = ""
     weightable = True
     needs_column = True
+    #: Whether squares are summed: then about a value of the column, so that a mean far from 0 costs no digits.
+    centred = False
+    centre = 0.0
 
     def __init__(self, column: str | None = None, weight: str | bool | None = None, exclude_nonpositive_weights: bool = False, conflev: float = 0.95, label: str = "", **options: Any) -> None:
         if self.needs_column and not column:
@@ -89,6 +92,11 @@ class Measure:
         for c in (out.column, out.weight):
             if c and not ds.is_scalar(c):
                 raise RoleError(f"{self.stat} needs a scalar column, but {c!r} is {ds.meta(c).role}")
+        if out.centred:
+            # Any value near the others will do: the first finite one.
+            x = F.col(f"`{out.column}`").cast("double")
+            first = ds.df.where(F.abs(x) < 1e150).select(x).first()
+            out.centre = first[0] if first else 0.0
         return out
 
     def values(self) -> tuple[Column, Column]:
@@ -134,8 +142,10 @@ class _Sums:
 
     @property
     def squares(self) -> Column:  # weighted squares about the weighted mean
-        raw = self.a.sum(f"wxx {self.key}", self.x * self.x * self.w_ if self.m.weight else self.x * self.x)
-        return F.greatest(F.lit(0.0), raw - self.wx * self.mean)
+        off, key = self.x - F.lit(self.m.centre), f"{self.key} {self.m.centre}"
+        first, second = (off * self.w_, off * off * self.w_) if self.m.weight else (off, off * off)
+        raw, shift = self.a.sum(f"wdd {key}", second), self.a.sum(f"wd {key}", first)
+        return F.greatest(F.lit(0.0), raw - shift * F.try_divide(shift, self.w))
 
     @property
     def stderr(self) -> Column:
@@ -195,6 +205,7 @@ class meancl(Measure):
     """Arithmetic mean with confidence limits by Student's t."""
 
     stat = "meancl"
+    centred = True
 
     def parts(self, s):
         half = intervals.t_quantile(s.n - 1, self.conflev) * s.stderr
@@ -245,6 +256,7 @@ class samplevar(Measure):
     """Sample variance: divided by n - 1, or by the sum of weights less 1."""
 
     stat = "samplevar"
+    centred = True
 
     def parts(self, s):
         return s.sample_variance
@@ -254,6 +266,7 @@ class popvar(Measure):
     """Population variance."""
 
     stat = "popvar"
+    centred = True
 
     def parts(self, s):
         return s.population_variance
@@ -263,6 +276,7 @@ class stddev(Measure):
     """Sample standard deviation."""
 
     stat = "stddev"
+    centred = True
 
     def parts(self, s):
         return F.sqrt(s.sample_variance)
@@ -272,6 +286,7 @@ class popstddev(Measure):
     """Population standard deviation."""
 
     stat = "popstddev"
+    centred = True
 
     def parts(self, s):
         return F.sqrt(s.population_variance)
@@ -281,6 +296,7 @@ class samplecv(Measure):
     """Sample coefficient of variation, in percent."""
 
     stat = "samplecv"
+    centred = True
 
     def parts(self, s):
         return F.try_divide(F.sqrt(s.sample_variance), s.mean) * 100
@@ -290,6 +306,7 @@ class popcv(Measure):
     """Population coefficient of variation, in percent."""
 
     stat = "popcv"
+    centred = True
 
     def parts(self, s):
         return F.try_divide(F.sqrt(s.population_variance), s.mean) * 100
@@ -299,6 +316,7 @@ class stderr(Measure):
     """Standard error of the mean."""
 
     stat = "stderr"
+    centred = True
 
     def parts(self, s):
         return s.stderr
@@ -326,6 +344,7 @@ class studentt(Measure):
     """Student's t statistic against muzero (0)."""
 
     stat, weightable = "t", False
+    centred = True
 
     def parts(self, s):
         return F.try_divide(s.mean - F.lit(float(self.options.get("muzero", 0.0))), s.stderr)

@@ -26,11 +26,12 @@ UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WHOLE = ("int", "bigint", "smallint", "tinyint")
 #: A text that reads as a double: asked first, as a failed conversion costs an exception.
-NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?|(?i:nan|inf|infinity))\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?\s*$"
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), text).try_cast("double")
+    # A number starts with a blank, a sign, a dot or a digit, all of which come before the colon.
+    return F.when((text < ":") & text.rlike(NUMBER), text).try_cast("double")
 
 
 def mask(text: Column) -> Column:
@@ -73,12 +74,14 @@ NHDS_RULES = (
 
 
 def _cells(df: DataFrame, spec: ProfileSpec) -> DataFrame:
-    """load, column_id, text, bad: every value of every column, and whether its row contradicts the column's rule."""
+    """load, column_id, text, v, bad: every value of every column, as a number where the column has a range, and whether its row contradicts the column's rule."""
+    kinds = dict(df.dtypes)
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).cast("int").alias("column_id"),
                 F.col(f"`{c.name}`").cast("string").alias("text"),
+                (F.lit(None).cast("double") if c.low is None else F.col(f"`{c.name}`").cast("double") if kinds[c.name] in (*WHOLE, "double", "float") else _number(F.col(f"`{c.name}`").cast("string"))).alias("v"),
                 (F.coalesce(F.expr(c.rule), F.lit(False)) if c.rule else F.lit(False)).alias("bad"),
             )
             for i, c in enumerate(spec.columns)
@@ -100,11 +103,10 @@ def mask_table(df: DataFrame, spec: ProfileSpec) -> DataFrame:
                 cls = F.when(here & ok, F.expr(c.classes)).otherwise(cls)
     # Everything is worked out after the columns are under each other: once, in a method that stays small enough to be compiled.
     text = F.col("text")
-    whole, ranged = [i for i, c in enumerate(spec.columns) if kinds[c.name] in WHOLE], [i for i, c in enumerate(spec.columns) if c.low is not None]
+    whole = [i for i, c in enumerate(spec.columns) if kinds[c.name] in WHOLE]
     digits = F.when(text.startswith("-"), F.concat(F.lit("-"), F.repeat(F.lit("9"), F.length(text) - 1))).otherwise(F.repeat(F.lit("9"), F.length(text)))
-    valued = _cells(df, spec).withColumn("v", F.when(F.col("column_id").isin(ranged), _number(text)) if ranged else F.lit(None).cast("double"))
     masked = F.when(F.col("column_id").isin(whole), digits).otherwise(mask(text)) if whole else mask(text)
-    marked = valued.select("load", "column_id", masked.alias("mask"), cls.alias("class"), outside.alias("outside"), "bad")
+    marked = _cells(df, spec).select("load", "column_id", masked.alias("mask"), cls.alias("class"), outside.alias("outside"), "bad")
     return marked.groupBy("load", "column_id", "mask", "class", "outside").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"))
 
 
@@ -116,8 +118,8 @@ def extremes(df: DataFrame, spec: ProfileSpec) -> DataFrame:
     for i, c in enumerate(spec.columns):
         col = F.col(f"`{c.name}`")
         number = kinds[c.name].startswith(numeric)
-        v = col.cast("double") if number else _number(col.cast("string"))
-        out += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        v = col if number else _number(col.cast("string"))
+        out += [F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
         # Text in order of its characters says nothing of numbers, and keeps the aggregation from fixed-size buffers.
         if not number:
             out += [F.min(col.cast("string")).alias(f"first{i}"), F.max(col.cast("string")).alias(f"last{i}")]

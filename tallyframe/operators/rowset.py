@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.plans.scale import BROADCAST_ROWS, cut
@@ -84,6 +86,7 @@ def _one(df: DataFrame) -> DataFrame:
 
 def unique(*sets: DataFrame) -> DataFrame:
     """The distinct values of one set or several."""
+    _told("unique", sets)
     return reduce(DataFrame.unionAll, map(_one, sets)).distinct()
 
 
@@ -109,6 +112,28 @@ def intersect_by(a: DataFrame, b: DataFrame, method: str = "auto") -> DataFrame:
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, "v", "left_semi")
 
 
+def preload(df: DataFrame) -> DataFrame:
+    """df kept in memory and on local disk from its first use on, a hint that it will be read again; results do not change.
+
+    A lost executor's part is read again from its source.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_instrument: Callable[[str, int], None] | None = None
+
+
+def set_instrument(function: Callable[[str, int], None] | None) -> None:
+    """Call function(operation, number of sets) whenever a set operation is planned; None to stop. For debugging."""
+    global _instrument
+    _instrument = function
+
+
+def _told(operation: str, sets: tuple[DataFrame, ...]) -> None:
+    if _instrument is not None:
+        _instrument(operation, len(sets))
+
+
 def _membership(sets: tuple[DataFrame, ...]) -> DataFrame:
     """v and the bits of the sets that hold it: one shuffle for any number of sets."""
     tagged = reduce(DataFrame.unionAll, [_one(s).withColumn("bit", F.lit(1 << i).cast("bigint")) for i, s in enumerate(sets)])
@@ -117,16 +142,19 @@ def _membership(sets: tuple[DataFrame, ...]) -> DataFrame:
 
 def intersect(*sets: DataFrame) -> DataFrame:
     """Values in every set."""
+    _told("intersect", sets)
     return _membership(sets).where(F.col("bits") == (1 << len(sets)) - 1).select("v")
 
 
 def difference(*sets: DataFrame) -> DataFrame:
     """Values of the first set that are in none of the others."""
+    _told("difference", sets)
     return _membership(sets).where(F.col("bits") == 1).select("v")
 
 
 def outersect(*sets: DataFrame) -> DataFrame:
     """Values that are not in every set."""
+    _told("outersect", sets)
     return _membership(sets).where(F.col("bits") != (1 << len(sets)) - 1).select("v")
 
 

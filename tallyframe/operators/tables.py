@@ -5,6 +5,9 @@ An axis that a table lacks needs no copies of its cells: an equi-join on the sha
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.meta import ColumnMeta, Dataset
@@ -104,15 +107,72 @@ def crosstab(ds: Dataset, shaped_like: Dataset | None = None) -> Dataset:
     return Dataset(out, ds.name, {c: m for c, m in ds.columns.items() if c in out.columns} | {m: ColumnMeta("scalar") for m in amounts}, ds.weight, ds.label)
 
 
-def pivot_table(ds: Dataset, rows: list[str], column: str, amount: str, values: list, limits: tuple[str, str] | None = None, digits: int = 2) -> DataFrame:
-    """Nested rows by one banner column for display; the listed values keep empty columns.
+def pivot_table(
+    ds: Dataset, rows: list[str], column: str | list[str], amount: str, values: list, limits: tuple[str, str] | None = None, digits: int = 2, marginals: str = "as listed", all_label: str = "all"
+) -> DataFrame:
+    """Nested rows by one banner column or several for display; the listed values keep empty columns.
 
-    With limits (lower, upper) a cell reads "x (ll..ul)".
+    column: a name, and values its values; or names, and values a list for each: the last varies fastest, and headers read
+    "a | b". marginals: where the marginal rows and columns go: before, after, none of them, or as listed (columns) and
+    unordered (rows). Their headers read all_label. With limits (lower, upper) a cell reads "x (ll..ul)".
     """
+    if marginals not in ("as listed", "before", "after", "none"):
+        raise ValueError("marginals must be before, after, none or as listed")
     shown = F.first(F.col(f"`{amount}`"), ignorenulls=True)
     df = ds.df
     if limits:
         number = lambda c: F.format_number(F.col(f"`{c}`"), digits)
         df = df.withColumn("__shown", F.concat(number(amount), F.lit(" ("), number(limits[0]), F.lit(".."), number(limits[1]), F.lit(")")))
         shown = F.first("__shown", ignorenulls=True)
-    return df.groupBy(*[F.col(f"`{r}`") for r in rows]).pivot(column, values).agg(shown)
+    if isinstance(column, str) and marginals == "as listed":
+        return df.groupBy(*[F.col(f"`{r}`") for r in rows]).pivot(column, values).agg(shown)
+    banner, lists = ([column], [list(values)]) if isinstance(column, str) else (list(column), [list(v) for v in values])
+    total = {c: ds.all_value(c) for c in [*rows, *banner]}
+    marginal = lambda c: F.coalesce(F.col(f"`{c}`") == F.lit(total[c]), F.lit(False))
+    if marginals == "none":
+        for c in total:
+            df = df.where(~marginal(c))
+    elif marginals != "as listed":
+        lists = [[total[c], *rest] if marginals == "before" else [*rest, total[c]] for c, v in zip(banner, lists) for rest in [[x for x in v if x != total[c]]]]
+    text = lambda c: F.when(marginal(c), F.lit(all_label)).otherwise(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
+    heads = [" | ".join(all_label if v == total[c] else "" if v is None else str(v) for c, v in zip(banner, each)) for each in itertools.product(*lists)]
+    table = df.withColumn("__head", F.concat_ws(" | ", *[text(c) for c in banner])).groupBy(*[F.col(f"`{r}`") for r in rows]).pivot("__head", heads).agg(shown)
+    if marginals in ("before", "after"):
+        order = [(lambda m: m.desc() if marginals == "before" else m.asc())(marginal(r)) for r in rows]
+        table = table.orderBy(*[o for r, m in zip(rows, order) for o in (m, F.col(f"`{r}`").asc_nulls_first())])
+    return table
+
+
+def heat_levels(table: DataFrame, columns: list[str], levels: int = 5) -> DataFrame:
+    """table with a shade from 0 (least) to levels - 1 (greatest) beside each number, as `<column>_heat`; null for null.
+
+    Levels are equal parts of the range of all the numbers; if they are all the same, every shade is 0.
+    """
+    each = [F.col(f"`{c}`").cast("double") for c in columns]
+    ends = table.agg(F.min(F.least(*each)) if len(each) > 1 else F.min(each[0]), F.max(F.greatest(*each)) if len(each) > 1 else F.max(each[0])).first()
+    low, high = ends[0], ends[1]
+    place = lambda x: F.least(F.floor((x - F.lit(low)) * levels / F.lit(high - low)), F.lit(levels - 1)).cast("int") if low is not None and high > low else F.lit(0)
+    shade = lambda x: F.when(x.isNotNull(), place(x))
+    return table.withColumns({f"{c}_heat": shade(x) for c, x in zip(columns, each)})
+
+
+def summary_array(ds: Dataset, amount: str = "_freq_", most: int = 10_000_000) -> tuple[np.ndarray, dict[str, list]]:
+    """A summary's cells (without marginal rows) as an array with an axis per condition column, and the values of the axes.
+
+    Missing cells are NaN. The array is made on the driver, so more than `most` cells are an error.
+    """
+    axes = axes_of(ds)
+    cells = full_level(ds).select(*[F.col(f"`{a}`") for a in axes], F.col(f"`{amount}`").cast("double").alias("__x"))
+    if (n := cells.count()) > most:
+        raise ValueError(f"{n} cells are more than {most}")
+    frame = cells.collect()
+    names = {a: sorted({r[i] for r in frame}, key=lambda v: (v is not None, v)) for i, a in enumerate(axes)}
+    shape = tuple(len(v) for v in names.values())
+    if int(np.prod(shape, dtype=object)) > most:
+        raise ValueError(f"an array of shape {shape} has more than {most} cells")
+    place = [{v: k for k, v in enumerate(vs)} for vs in names.values()]
+    out = np.full(shape, np.nan)
+    for r in frame:
+        if r["__x"] is not None:
+            out[tuple(p[r[i]] for i, p in enumerate(place))] = r["__x"]
+    return out, names

@@ -12,9 +12,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 NEAR = 10
 _TOKEN = re.compile(r"""\s*(?:(?P<number>\[\s*\d+\s*\])|(?P<word>[A-Za-z0-9'*]?[A-Za-z0-9][A-Za-z0-9'*]*)|(?P<symbol>[&|<>~()"-]))""")
@@ -152,8 +153,13 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def positions(node: Any, tokens: Column) -> Column:
-    """The array of positions that a node matches; empty if it does not match."""
+def positions(node: Any, tokens: Column | dict[str, Column]) -> Column:
+    """The array of positions that a node matches; empty if it does not match.
+
+    tokens: the array of a text's words, or the array of positions of each word of the search.
+    """
+    if isinstance(node, Word) and isinstance(tokens, dict):
+        return tokens[node.text]
     if isinstance(node, Word):
         hit = (lambda w: w.rlike(_pattern(node.text))) if "*" in node.text else (lambda w: w == node.text)
         return F.array_compact(F.transform(tokens, lambda w, i: F.when(hit(w), i)))
@@ -229,3 +235,52 @@ def highlight(node: Any, text: Column, before: str = "<b>", after: str = "</b>")
     either = "|".join(one(w) for w in search_words(node))
     mark = lambda s: s.replace("\\", "\\\\").replace("$", r"\$")
     return F.regexp_replace(text, rf"(?i)(?<![A-Z0-9'])({either})(?![A-Z0-9'])", f"{mark(before)}$1{mark(after)}")
+
+
+# -- a word index on disk
+#: Buckets of words; a search without wildcards reads the buckets of its words only.
+BUCKETS = 256
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """bucket, word, the key and positions (ascending) of every word in every text; null and empty texts have none.
+
+    Words of a text are grouped with their text, so a word that all texts have is no group of its own.
+    """
+    k = F.col(f"`{key}`")
+    each = df.select(k.alias("__key"), F.posexplode(words(F.col(f"`{text}`"))).alias("__at", "word"))
+    grouped = each.groupBy("__key", "word").agg(F.array_sort(F.collect_list("__at")).alias("positions"))
+    return grouped.select(_bucket(F.col("word")).alias("bucket"), "word", F.col("__key").alias(key), "positions")
+
+
+def write_postings(df: DataFrame, key: str, text: str, path: str, parts: int = 8) -> None:
+    """Write the word index of a column of texts: a folder per bucket, sorted by word; a bucket goes to `parts` tasks."""
+    index = postings(df, key, text)
+    spread = index.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(parts)))
+    spread.sortWithinPartitions("bucket", "word", F.col(f"`{key}`")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def search_postings(index: DataFrame, key: str, node: Any) -> DataFrame:
+    """The keys of the texts that a search matches, by the word index alone; each once, null keys none."""
+    leaves = sorted(set(_all_words(node)))
+    match = {w: F.col("word").rlike(_pattern(w)) & (F.col("word").startswith(w[: w.index("*")])) if "*" in w else F.col("word") == w for w in leaves}
+    wanted = reduce(lambda a, b: a | b, match.values())
+    if not any("*" in w for w in leaves):
+        wanted = wanted & F.col("bucket").isin([r[0] for r in index.sparkSession.createDataFrame([(w,) for w in leaves], "word string").select(_bucket(F.col("word"))).collect()])
+    names = {w: f"__w{i}" for i, w in enumerate(leaves)}
+    gathered = [F.array_sort(F.flatten(F.collect_list(F.when(match[w], F.col("positions"))))).alias(n) for w, n in names.items()]
+    per_text = index.where(wanted).groupBy(F.col(f"`{key}`").alias("__key")).agg(*gathered)
+    hits = positions(node, {w: F.col(n) for w, n in names.items()})
+    return per_text.where(F.col("__key").isNotNull() & (F.size(hits) > 0)).select(F.col("__key").alias(key))
+
+
+def _all_words(node: Any) -> list[str]:
+    if isinstance(node, Word):
+        return [node.text]
+    if isinstance(node, Join):
+        return _all_words(node.left) + _all_words(node.right)
+    return [w for p in node.parts for w in _all_words(p)]

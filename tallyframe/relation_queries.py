@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import dates, intervals
 from tallyframe.functions.special import probit
 from tallyframe.meta import ColumnMeta, Dataset
-from tallyframe.operators import joins, measures as m, rates, rowset, tables, twobytwo
+from tallyframe.operators import itemsets, joins, measures as m, plotdata, rates, rowset, tables, twobytwo
 from tallyframe.plans.scale import table
 
 CAT, ORD, NUM, TEXT = ColumnMeta("categorical"), ColumnMeta("ordinal"), ColumnMeta("scalar"), ColumnMeta("searchabletext")
@@ -43,6 +43,8 @@ FILTERS = {
     "filter_prefix": (_PART, "p_brand starting with 'Brand#1'", "starts_with(p_brand, 'Brand#1')"),
     "filter_not_prefix": (_PART, "p_brand !=: 'Brand#1'", "NOT starts_with(p_brand, 'Brand#1')"),
     "filter_prefix_order": (_NHDS, "diagnosis1 >: '4' and diagnosis1 <=: '72'", "coalesce(left(diagnosis1, 1) > '4' AND left(diagnosis1, 2) <= '72', FALSE)"),
+    "filter_prefix_less": (_PART, "p_brand lt: 'Brand#3'", "left(p_brand, 7) < 'Brand#3'"),
+    "filter_prefix_at_least": (_PART, "p_brand >=: 'Brand#3'", "left(p_brand, 7) >= 'Brand#3'"),
     "filter_prefix_number": (_PART, "p_size eq: 4", "starts_with(CAST(p_size AS VARCHAR), '4')"),
     "filter_between_half_open": (_LINE, "l_quantity between (10, 20)", "l_quantity >= 10 AND l_quantity < 20"),
     "filter_precedence": (_NHDS, "sex = 1 or sex = 2 and not (geog_region = 1 or geog_region = 2)", "coalesce(sex = 1, FALSE) OR (coalesce(sex = 2, FALSE) AND NOT (coalesce(geog_region = 1, FALSE) OR coalesce(geog_region = 2, FALSE)))"),
@@ -96,6 +98,19 @@ for _n, (_text, _sql) in SEARCHES.items():
     add(_n, _searched(_text), f"{_TOKENS} SELECT doc_id FROM ids WHERE {_sql}")
 
 
+def _by_postings(text):
+    def run(spark, d):
+        from tallyframe.plans import textsearch
+
+        return textsearch.search_postings(textsearch.postings(table(spark, d, "documents"), "doc_id", "text"), "doc_id", textsearch.parse(text))
+
+    return run
+
+
+for _n in ("search_mixed", "search_phrase", "search_wildcard", "search_but_not"):
+    add(_n.replace("search_", "postings_"), _by_postings(SEARCHES[_n][0]), ORACLES[_n])
+
+
 def search_highlight(spark, d):
     from tallyframe.plans import textsearch
 
@@ -360,6 +375,46 @@ add(
     "SELECT row_ordinal, coalesce(strftime(randomdate, '%d/%m/%Y'), 'All date/times') AS short, coalesce(strftime(randomdate, '%A, %d %B %Y'), 'All date/times') AS long FROM nhds",
 )
 
+add(
+    "dates_datetime",
+    lambda s, d: table(s, d, "events").select("event_id", dates.parse_datetime(F.date_format("ts", "d/M/yyyy HH:mm:ss")).alias("at"), dates.parse_time(F.date_format("ts", "HH:mm:ss"), "HH:MM:SS").alias("seconds")),
+    "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS at, CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS DOUBLE) AS seconds FROM events",
+)
+add(
+    "dates_ticks",
+    lambda s, d: table(s, d, "region").select("r_regionkey", F.explode(dates.date_ticks(F.lit(dt.date(1998, 1, 15)), F.date_add(F.lit(dt.date(1998, 6, 1)), F.col("r_regionkey").cast("int") * 30))).alias("tick")),
+    "SELECT r_regionkey, CAST(unnest(generate_series(DATE '1998-01-01', CAST(DATE '1998-06-01' + CAST(r_regionkey * 30 AS INT) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS tick FROM region",
+)
+add(
+    "frequent_sets",
+    lambda s, d: _pairs_of(s, d),
+    """WITH t AS (SELECT row_ordinal, unnest(list_distinct(procedure_all)) AS p FROM nhds WHERE procedure_all IS NOT NULL), n AS (SELECT count(*) AS n FROM nhds)
+SELECT a.p AS first, b.p AS second, count(*) AS n_rows FROM t a JOIN t b ON a.row_ordinal = b.row_ordinal AND a.p < b.p GROUP BY ALL HAVING count(*) >= 0.002 * (SELECT n FROM n)""",
+)
+add(
+    "plot_scatter_matrix",
+    lambda s, d: plotdata.scatter_matrix(Dataset.of(table(s, d, "lineitem"), "l"), ["l_quantity", "l_discount", "l_tax"], 4),
+    "WITH e AS (SELECT min(l_quantity) AS a0, max(l_quantity) AS a1, min(l_discount) AS b0, max(l_discount) AS b1, min(l_tax) AS c0, max(l_tax) AS c1 FROM lineitem), g AS (SELECT "
+    + ", ".join(f"CAST(least(floor((CAST({c} AS DOUBLE) - {k}0) * 4 / ({k}1 - {k}0)), 3) AS INT) AS {k}" for c, k in (("l_quantity", "a"), ("l_discount", "b"), ("l_tax", "c")))
+    + " FROM lineitem, e) "
+    + " UNION ALL ".join(f"SELECT '{x}' AS x_column, '{y}' AS y_column, {i} AS x_bin, {j} AS y_bin, count(*) AS n FROM g GROUP BY ALL" for x, y, i, j in (("l_quantity", "l_discount", "a", "b"), ("l_quantity", "l_tax", "a", "c"), ("l_discount", "l_tax", "b", "c"))),
+)
+add(
+    "crosstab_banners",
+    lambda s, d: tables.pivot_table(_marked(s, d), ["l_returnflag"], ["l_linestatus"], "_freq_", [["F", "O"]], marginals="after").select("l_returnflag", "F", "O", F.col("all").alias("whole")),
+    """WITH c AS (SELECT l_returnflag, count_if(l_linestatus = 'F') AS F, count_if(l_linestatus = 'O') AS O, count(*) AS whole FROM lineitem GROUP BY ALL)
+SELECT * FROM c UNION ALL SELECT '_all_', CAST(sum(F) AS BIGINT), CAST(sum(O) AS BIGINT), CAST(sum(whole) AS BIGINT) FROM c""",
+)
+
+
+def _pairs_of(spark, d):
+    found = itemsets.frequent_sets(table(spark, d, "nhds"), "procedure_all", 0.002)
+    return found.where(F.size("items") == 2).select(F.col("items")[0].alias("first"), F.col("items")[1].alias("second"), "n_rows")
+
+
+def _marked(spark, d):
+    return Dataset.of(table(spark, d, "lineitem"), "l").summ("l_returnflag", "l_linestatus", allcalc=True, ordered=False)
+
 
 def stream_windows(spark, d):
     from tallyframe.streaming.summaries import windowed_summary

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -48,36 +49,47 @@ def _zip_parts(path: str) -> tuple[str, str]:
     return path[: at + 4], path[at + 5 :]
 
 
-def _zip_rows(spark: SparkSession, path: str, member: str, skip: int, split: Callable[[str], Iterator[list[str]]], width: int) -> DataFrame:
-    """Rows of text fields from the members of zip archives, one archive per task."""
+#: Rows of a zip member that are handed on at once.
+ZIP_ROWS = 10_000
+
+
+def _zip_rows(spark: SparkSession, path: str, member: str, skip: int, split: Callable[[Iterator[str]], Iterator[list[str]]], width: int, encoding: str = "UTF-8", errors: str = "strict") -> DataFrame:
+    """Rows of text fields from the members of zip archives, one archive per task.
+
+    A member is unpacked, decoded and split as it is read, ZIP_ROWS rows at a time. Bytes that the encoding does not
+    have are an error, or with errors="replace" become the replacement character.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for blob in f["content"]:
                 with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    for name in [member] if member else z.namelist():
-                        rows = [(r + [None] * width)[:width] for r in split(z.read(name).decode("utf-8", "replace"))][skip:]
-                        yield pd.DataFrame({"f": rows})
+                    for name in [member] if member else [n for n in z.namelist() if not n.endswith("/")]:
+                        with z.open(name) as raw, io.TextIOWrapper(raw, encoding=encoding, errors=errors, newline="") as lines:
+                            rows = itertools.islice(split(lines), skip, None)
+                            while chunk := list(itertools.islice(rows, ZIP_ROWS)):
+                                yield pd.DataFrame({"f": [(r + [None] * width)[:width] for r in chunk]})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "f array<string>")
 
 
-def csv_source(spark: SparkSession, path: str, columns: list[SourceColumn], header: bool = False, header_rows: int = 0, missing: tuple[str, ...] = (), delimiter: str = ",", quote: str = '"', multiline: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def csv_source(spark: SparkSession, path: str, columns: list[SourceColumn], header: bool = False, header_rows: int = 0, missing: tuple[str, ...] = (), delimiter: str = ",", quote: str = '"', multiline: bool = True, encoding: str = "UTF-8", errors: str = "strict") -> DataFrame:
     """Delimited text: columns by position (ordinalpos), or by the names in the header line.
 
     Quoted fields may hold delimiters, doubled quotes and, with multiline, line ends; without multiline, files are
-    split among tasks. Gzip is read as it is; zip archives, also as archive/member. header_rows lines of every file are skipped.
+    split among tasks. Gzip is read as it is; zip archives, also as archive/member, one per task and member by member; errors
+    (strict or replace) decides what bytes that are no text of the encoding do there. header_rows lines of every file are skipped.
     """
     width = 1 + max((c.ordinalpos or 0) - c.posbase for c in columns)
     if ".zip" in path.lower():
         archive, member = _zip_parts(path)
 
-        def split(text: str) -> Iterator[list[str]]:
-            return csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote)
+        def split(lines: Iterator[str]) -> Iterator[list[str]]:
+            return csv.reader(lines, delimiter=delimiter, quotechar=quote)
 
         if header:
             raise ValueError("in zip archives, give positions and header_rows=1")
-        rows = _zip_rows(spark, archive, member, header_rows, split, width)
+        rows = _zip_rows(spark, archive, member, header_rows, split, width, encoding, errors)
         return rows.select(*[converted(F.get("f", F.lit(c.ordinalpos - c.posbase)), c, missing) for c in columns])
     reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("multiLine", multiline).option("encoding", encoding).option("mode", "PERMISSIVE")
     if header:
@@ -101,7 +113,7 @@ def fixed_width_source(spark: SparkSession, path: str, columns: list[SourceColum
         raise ValueError("every column needs startpos and length")
     if ".zip" in path.lower():
         archive, member = _zip_parts(path)
-        lines = _zip_rows(spark, archive, member, header_rows, lambda text: ([x] for x in text.splitlines()), 1).select(F.get("f", F.lit(0)).alias("value"))
+        lines = _zip_rows(spark, archive, member, header_rows, lambda lines: ([x.rstrip("\r\n")] for x in lines), 1).select(F.get("f", F.lit(0)).alias("value"))
     else:
         lines = spark.read.text(path)
         lines = _skip_per_file(_marked(lines), header_rows) if header_rows else lines

@@ -1,11 +1,12 @@
 """Persistent datasets: Parquet data and a metadata file per generation, on any Hadoop file system.
 
 A save writes gen=<n> beside the older generations and then moves a pointer to it, so readers never see
-half a dataset. A lock file keeps to one writer. Older generations beyond `keep` are removed.
+half a dataset. A lock file keeps to one writer, and is broken when that has died. Older generations beyond `keep` are removed.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +16,8 @@ from pyspark.sql import SparkSession
 from tallyframe.meta import NAME, Dataset
 
 KEEP = 24
+#: Seconds after which a lock is that of a writer that has died.
+STALE = 6 * 3600
 
 
 class Locked(RuntimeError):
@@ -22,9 +25,9 @@ class Locked(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, *paths: str) -> None:
-        """paths: folders searched in order; the first is written to."""
-        self.spark, self.paths = spark, paths
+    def __init__(self, spark: SparkSession, *paths: str, stale: float = STALE) -> None:
+        """paths: folders searched in order; the first is written to. stale: seconds after which a lock is broken."""
+        self.spark, self.paths, self.stale = spark, paths, stale
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
@@ -44,22 +47,43 @@ class Store:
         stream.write(bytearray(text.encode()))
         stream.close()
 
+    def _replace(self, fresh: str, old: str) -> None:
+        """Move a file over another in one step, so that there is always one of them."""
+        jvm = self.spark._jvm
+        how = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(fresh).toUri(), self._conf).rename(self._path(fresh), self._path(old), how)
+
     def _list(self, path: str) -> list[str]:
         fs, p = self._fs(path), self._path(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     @contextmanager
     def locked(self, name: str) -> Iterator[None]:
-        """Hold the dataset for writing."""
+        """Hold the dataset for writing.
+
+        The lock says who holds it. One that is older than `stale` seconds was left by a writer that died: it is moved
+        away, which only one of several waiting writers can do, and taken anew.
+        """
         folder, lock = f"{self.paths[0]}/{name}", f"{self.paths[0]}/{name}/_LOCK"
         fs = self._fs(folder)
         fs.mkdirs(self._path(folder))
+        mine = uuid.uuid4().hex
         if not fs.createNewFile(self._path(lock)):
-            raise Locked(f"dataset {name!r} is being written")
+            age = time.time() - fs.getFileStatus(self._path(lock)).getModificationTime() / 1000 if fs.exists(self._path(lock)) else 0.0
+            aside = f"{lock}-{mine}"
+            if age <= self.stale or not fs.rename(self._path(lock), self._path(aside)):
+                raise Locked(f"dataset {name!r} is being written")
+            fs.delete(self._path(aside), False)
+            if not fs.createNewFile(self._path(lock)):
+                raise Locked(f"dataset {name!r} is being written")
+        self._put(lock, mine)
         try:
             yield
         finally:
-            fs.delete(self._path(lock), False)
+            # Not the lock of another writer that took this one for dead.
+            if fs.exists(self._path(lock)) and self._text(lock) == mine:
+                fs.delete(self._path(lock), False)
 
     def generations(self, name: str, path: str | None = None) -> list[int]:
         return [int(f[4:]) for f in self._list(f"{path or self.paths[0]}/{name}") if f.startswith("gen=")]
@@ -77,8 +101,7 @@ class Store:
             fresh, pointer = f"{folder}/_CURRENT-{uuid.uuid4().hex}", f"{folder}/_CURRENT"
             fs = self._fs(folder)
             self._put(fresh, str(n))
-            fs.delete(self._path(pointer), False)
-            fs.rename(self._path(fresh), self._path(pointer))
+            self._replace(fresh, pointer)
             for old in sorted([*have, n])[:-keep]:
                 fs.delete(self._path(f"{folder}/gen={old:06d}"), True)
                 fs.delete(self._path(f"{folder}/meta-{old:06d}.json"), False)

@@ -237,6 +237,20 @@ def summ_quantiles(spark, d):
     return shown(lineitem(spark, d).summ("l_returnflag", *[f("l_extendedprice") for f in (m.p10, m.p25, m.median, m.p75, m.p90)], ordered=False))
 
 
+@query(_SORTED + "".join(f", {_definition(p, 2)} AS quantile_{str(p).replace('.', '_')}_def2_of_l_extendedprice" for p in (0.05, 0.5, 0.95)) + " FROM g")
+def summ_quantile_list(spark, d):
+    return shown(lineitem(spark, d).summ("l_returnflag", m.quantiles("l_extendedprice", (0.05, 0.5, 0.95), defn=2), ordered=False))
+
+
+@query(
+    """WITH v AS (SELECT o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS x FROM orders), g AS (SELECT s, p, count(*) AS n, list_sort(list(x)) AS x FROM v GROUP BY GROUPING SETS ((), (s), (p), (s, p)))
+SELECT coalesce(s, '_all_') AS o_orderstatus, coalesce(p, '_all_') AS o_orderpriority, n AS _freq_, (s IS NOT NULL)::INT + (p IS NOT NULL)::INT AS _level_, (s IS NOT NULL)::INT::VARCHAR || (p IS NOT NULL)::INT::VARCHAR AS _type_,
+round(CASE WHEN n % 2 = 0 THEN (x[n // 2] + x[n // 2 + 1]) / 2 ELSE x[n // 2 + 1] END, 6) AS median_of_o_totalprice FROM g"""
+)
+def summ_cube_medians(spark, d):
+    return shown(orders(spark, d).summ("o_orderstatus", "o_orderpriority", m.median("o_totalprice"), allcalc=True, ordered=False))
+
+
 @query(_SORTED + "".join(f", {_definition(0.37, k)} AS quantile_0_37_def{k}_of_l_extendedprice" for k in (1, 2, 3, 4)) + " FROM g")
 def summ_quantile_definitions(spark, d):
     return shown(lineitem(spark, d).summ("l_returnflag", *[m.quantile("l_extendedprice", 0.37, defn=k) for k in (1, 2, 3, 4)], ordered=False))

@@ -140,6 +140,11 @@ def test_row_sets(spark):
     assert [r["v"] for r in sorted(t.collect(), key=lambda r: r["row_ordinal"])] == sorted(far, key=lambda v: (v is not None, v))
     assert sorted(r["row_ordinal"] for r in t.collect()) == list(range(len(far))) and rowset.with_ordinals(n.limit(0), ["v"]).count() == 0
     assert got(rowset.take_rows(o, [5, 5, None, 7, 500]).select("v")) == got(rowset.take_rows(o, f(5, 7, 7, None)).select("v")) == [5, 7]
+    seen = []
+    rowset.set_instrument(lambda name, sets: seen.append((name, sets)))
+    assert got(rowset.union(a, b)) == got(rowset.preload(rowset.unique(a, b))) and got(rowset.intersect(a, b, c)) == [5]
+    rowset.set_instrument(None)
+    assert got(rowset.difference(a, b)) == [1] and seen == [("unique", 2), ("unique", 2), ("intersect", 3)]
     for way in ("auto", "sparse", "dense"):
         assert got(rowset.intersect_by(a, b, way)) == [2, 5]
     for s in (slice(10, 20), slice(-5, None), slice(None, None, 30), slice(50, 10, -7), slice(3, 3)):
@@ -186,3 +191,123 @@ def test_plot_data(spark):
     assert (b["p25_of_v"], b["quantile_0_5_of_v"], b["p75_of_v"]) == (2.0, 5.0, 8.0)
     assert plotdata.points(ds, "v", limit=5).count() <= 12
     assert rows(plotdata.search_values(ds, "g", "*x")) == [("x", "Ex")]
+
+
+def test_zip_members_are_streamed(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("a.csv", "h,h\n" + "".join(f"{i},x\n" for i in range(25_000)))
+        z.writestr("sub/", "")
+        z.writestr("b.csv", "h,h\n7,y\n")
+        z.writestr("bad.csv", b"h,h\n1,\xff\n")
+    got = rows(readers.csv_source(spark, f"{tmp_path}/two.zip/a.csv", AB, header_rows=1))
+    assert len(got) == 25_000 and got[0] == ("0", "x") and got[-1] == ("24999", "x")
+    assert rows(readers.csv_source(spark, f"{tmp_path}/two.zip/b.csv", AB, header_rows=1)) == [("7", "y")]
+    assert rows(readers.csv_source(spark, f"{tmp_path}/two.zip/bad.csv", AB, header_rows=1, errors="replace")) == [("1", "�")]
+    with pytest.raises(Exception, match="decode"):
+        rows(readers.csv_source(spark, f"{tmp_path}/two.zip/bad.csv", AB, header_rows=1))
+
+
+def test_store_replaces_its_pointer_and_breaks_stale_locks(spark, tmp_path):
+    from tallyframe.sources.store import Locked, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    ds = Dataset.of(spark.createDataFrame([(1,)], "v int"), "d")
+    assert [store.save(ds), store.save(ds)] == [1, 2] and store.load("d").df.count() == 1
+    with store.locked("d"):
+        with pytest.raises(Locked):
+            store.save(ds)
+        # Another writer takes this one for dead; this one then leaves the other's lock alone.
+        late = Store(spark, str(tmp_path / "s"), stale=-1)
+        with late.locked("d"):
+            pass
+    (tmp_path / "s" / "d" / "_LOCK").write_text("gone")
+    with pytest.raises(Locked):
+        store.save(ds)
+    assert Store(spark, str(tmp_path / "s"), stale=-1).save(ds) == 3 and store.save(ds) == 4
+
+
+def test_kept_summaries(spark, tmp_path):
+    from tallyframe.operators.summarise import coalesce, condcol, suppress
+    from tallyframe.sources.store import Store
+    from tallyframe.sources.summary_cache import SummaryCache
+
+    data, kept = Store(spark, str(tmp_path / "d")), Store(spark, str(tmp_path / "k"))
+    ds = Dataset.of(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 4.0)], "g string, v double"), "d", v=ColumnMeta("scalar"), g=ColumnMeta("categorical"))
+    data.save(ds)
+    cache = SummaryCache(data, kept)
+    for _ in range(2):
+        assert sorted((r["g"], r["mean_of_v"]) for r in cache.summ("d", "g", m.mean("v")).df.collect()) == [("a", 2.5), ("b", 2.0)]
+    assert len(kept.available()) == 1
+    assert cache.summ("d", condcol("g", suppress("b")), m.mean("v")).df.count() == 1 and cache.summ("d", "g", m.mean("v"), filters=("v > 1",)).df.count() == 2
+    data.save(ds.filter("v > 3"))
+    assert cache.summ("d", "g", m.mean("v")).df.count() == 1 and len(kept.available()) == 4
+    with pytest.raises(TypeError):
+        cache.summ("d", condcol("g", coalesce(str.upper)), m.mean("v"))
+
+
+def test_frequent_sets(spark):
+    import itertools
+    import random
+
+    from tallyframe.operators.itemsets import frequent_sets
+
+    rng = random.Random(5)
+    rows_ = [[rng.choice("abcde") for _ in range(rng.randint(0, 4))] for _ in range(200)] + [None, ["a", None]]
+    df = spark.createDataFrame([(r, 1) for r in rows_], "t array<string>, items int")
+    sets_ = [set(x for x in r or [] if x) for r in rows_]
+    want = {c: n for k in range(1, 6) for c in itertools.combinations("abcde", k) if (n := sum(set(c) <= s for s in sets_)) >= 0.1 * len(rows_)}
+    assert {tuple(r["items"]): r["n_rows"] for r in frequent_sets(df, "t", 0.1).collect()} == want
+    top = {c for c in want if not any(set(c) < set(o) for o in want)}
+    assert {tuple(r["items"]) for r in frequent_sets(df, "t", 0.1, maximal=True).collect()} == top
+    assert frequent_sets(df.limit(0), "t").count() == 0
+
+
+def test_display_tables(spark):
+    import numpy as np
+
+    meta = {"a": ColumnMeta("categorical", all_value=-1), "b": ColumnMeta("categorical", all_value=-1), "c": ColumnMeta("categorical", all_value="all")}
+    base = Dataset.of(spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x"), (2, 1, "x")], "a int, b int, c string"), "t", **meta)
+    s = base.summ("a", "b", "c", allcalc=True)
+    p = tables.pivot_table(s, ["a"], ["b", "c"], "_freq_", [[1, 2], ["x"]], marginals="after")
+    assert p.columns == ["a", "1 | x", "1 | all", "2 | x", "2 | all", "all | x", "all | all"]
+    assert rows(p) == [(1, 1, 1, 0, 1, 1, 2), (2, 2, 2, 0, 0, 2, 2), (-1, 3, 3, 0, 1, 3, 4)]
+    assert [r[0] for r in tables.pivot_table(s, ["a"], "b", "_freq_", [1], marginals="before").collect()] == [-1, 1, 2]
+    none = tables.pivot_table(base.summ("a", "b", allcalc=True), ["a"], ["b"], "_freq_", [[1, 2]], marginals="none")
+    assert sorted(rows(none)) == [(1, 1, 1), (2, 2, 0)]
+    assert sorted(rows(tables.heat_levels(none, ["1", "2"], 2))) == [(1, 1, 1, 1, 1), (2, 2, 0, 1, 0)]
+    x, names = tables.summary_array(base.summ("a", "b", allcalc=True))
+    assert names == {"a": [1, 2], "b": [1, 2]} and np.array_equal(x, [[1, 1], [2, 0]])
+    with pytest.raises(ValueError):
+        tables.summary_array(base.summ("a", "b"), most=3)
+
+
+def test_density_and_scatter_matrix(spark):
+    import math
+
+    vals = [0.0, 1.0, 1.5, 4.0]
+    ds = Dataset.of(spark.createDataFrame([(v, 2 * v, None) for v in vals] + [(None, 1.0, 3.0), (float("inf"), 1.0, float("nan"))], "x double, y double, z double"), "t")
+    for r in plotdata.density(ds, "x", at=9, bandwidth=0.5).collect():
+        assert r["density"] == pytest.approx(sum(math.exp(-(((r["x"] - v) / 0.5) ** 2) / 2) for v in vals) / (4 * 0.5 * math.sqrt(2 * math.pi)), abs=1e-6)
+    assert plotdata.density(ds.filter("x > 100"), "z").count() == 0
+    got = {tuple(r) for r in plotdata.scatter_matrix(ds, ["x", "y", "z"], bins=2).collect()}
+    assert got == {("x", "y", 0, 0, 3), ("x", "y", 1, 1, 1), ("y", "z", 0, 0, 1)}
+    assert plotdata.points(ds, "x", limit=None).count() == 6 and plotdata.search_values(ds, "x", "*", None).count() == plotdata.count_values(ds, "x", "*")
+
+
+def test_word_index(spark, tmp_path):
+    from tallyframe.plans import textsearch as ts
+
+    texts = ["The quick fox", "the fox the quick", "o'neil's fox fox", "", None, "a slow foxtrot", "the " * 300 + "end"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "k int, text string, word int")
+    ts.write_postings(df, "k", "text", str(tmp_path / "w"))
+    index = spark.read.parquet(str(tmp_path / "w"))
+    for search in ("fox", "the < fox", '"quick fox"', "fox* - the", "fox* &- the", "oneils ~[2] fox", "(slow | quick) fox*", "end", "nothing", "the >[1] fox"):
+        try:
+            node = ts.parse(search)
+        except ts.SearchError:
+            continue
+        want = sorted(r["k"] for r in df.where(ts.matches(node, F.col("text"))).collect())
+        assert sorted(r["k"] for r in ts.search_postings(index, "k", node).collect()) == want, search
+    plan = ts.search_postings(index, "k", ts.parse("fox"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert ts.search_postings(ts.postings(df.limit(0), "k", "text"), "k", ts.parse("fox")).count() == 0

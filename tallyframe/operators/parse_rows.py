@@ -84,8 +84,10 @@ def classify(df: DataFrame, raw: str, fields: tuple[IntField, ...]) -> DataFrame
         v = F.get("__whole", F.lit(i))
         reason = reason.when(~F.coalesce(v.between(f.low, f.high), F.lit(False)), f.name)
     values = F.struct(*[F.when(clean, F.col(f"__read.{f.name}")).otherwise(F.get("__whole", F.lit(i))).alias(f.name) for i, f in enumerate(fields)])
-    out = out.withColumn("reason", reason).withColumn("values", values)
-    return out.drop("__read", "__clean", "__pieces", "__first", "__end", "__inner", "__quoting", "__parts", "__whole")
+    # Out of a generator: a condition on the reason is then asked of the result, and not of its whole expression once more.
+    out = out.withColumn("__result", F.explode(F.array(F.struct(reason.alias("reason"), values.alias("values")))))
+    out = out.withColumn("reason", F.col("__result.reason")).withColumn("values", F.col("__result.values"))
+    return out.drop("__result", "__read", "__clean", "__pieces", "__first", "__end", "__inner", "__quoting", "__parts", "__whole")
 
 
 def records(raw: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,9 @@ def term_frequency(df: DataFrame, record: str, fields: dict[str, Column], rare_b
     hot = F.lit(0)
     for k, v in enumerate(hot_records):
         hot = F.when(F.col("rec") == F.lit(v), k + 1).otherwise(hot)
+    if hot_records:
+        # Asked of a set first: few rows go through the list.
+        hot = F.when(F.col("rec").isin(hot_records), hot).otherwise(0)
     out = out.withColumn("hot", F.when(F.col("rec").isNull(), -1).otherwise(hot).cast("int"))
     # Without a record, or of a heavy one, a row goes anywhere; the id depends on its place in the input only.
     anywhere = F.when(F.col("hot") != 0, F.monotonically_increasing_id())
@@ -177,8 +181,10 @@ def term_frequency(df: DataFrame, record: str, fields: dict[str, Column], rare_b
         yield from counter.close()
 
     parts = by_record.mapInArrow(local_counts, _COUNTS)
-    # A term has at most as many hot records as the summary can hold.
-    counted = cut(parts.groupBy("f", "slot", "t").agg(F.sum("n").alias("n_rows"), (F.sum("r") + F.size(F.collect_set("hot"))).alias("n_records")))
+    # The heavy records of a term as bits, of which there are no more than heavy records: numbers, so that the sums stay in a hash table.
+    bits = [F.bit_or(F.expr(f"if(hot between {k + 1} and {k + 62}, shiftleft(1L, hot - {k + 1}), 0L)")) for k in range(0, len(hot_records), 62)]
+    n_records = reduce(lambda x, y: x + F.bit_count(y), bits, F.sum("r"))
+    counted = cut(parts.groupBy("f", "slot", "t").agg(F.sum("n").alias("n_rows"), n_records.cast("bigint").alias("n_records")))
     # The total sits in one row of the result: it is broadcast as one row, not collected.
     total = counted.where("f = -1").agg(F.coalesce(F.sum("n_records"), F.lit(0)).alias("__all"))
     joined = counted.where("f >= 0").crossJoin(F.broadcast(total))

@@ -92,11 +92,6 @@ class Measure:
         for c in (out.column, out.weight):
             if c and not ds.is_scalar(c):
                 raise RoleError(f"{self.stat} needs a scalar column, but {c!r} is {ds.meta(c).role}")
-        if out.centred:
-            # Any value near the others will do: the first finite one.
-            x = F.col(f"`{out.column}`").cast("double")
-            first = ds.df.where(F.abs(x) < 1e150).select(x).first()
-            out.centre = first[0] if first else 0.0
         return out
 
     def values(self) -> tuple[Column, Column]:

@@ -182,6 +182,15 @@ def summ(
     for m in (a.settled(ds, default) for a in args if isinstance(a, Measure)):
         measures.setdefault(m.name(), m)
     by_name = {c.name: c for c in conditions}
+    # Squares are summed about a value of the column: any finite one will do, so the first is asked for, once a column.
+    centres: dict[str, float] = {}
+    for m in measures.values():
+        if m.centred and not source.df.isStreaming:
+            if m.column not in centres:
+                x = F.col(f"`{m.column}`").cast("double")
+                first = source.df.where(F.abs(x) < 1e150).select(x).first()
+                centres[m.column] = first[0] if first else 0.0
+            m.centre = centres[m.column]
 
     n = len(names)
     if proportions or allcalc:
